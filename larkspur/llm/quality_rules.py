@@ -120,7 +120,9 @@ def fit(stats: DataFrame) -> DataFrame:
             F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs)
         )
 
-        def solve(group: pd.DataFrame, share: float = inside if last else SHARE, last: bool = last) -> pd.DataFrame:
+        share = inside if last else SHARE
+
+        def solve(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("bucket")
             n = group["n"].to_numpy(float)
             if last:  # all of these rows count; the share only sets the factor for what the cut leaves out
