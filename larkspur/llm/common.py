@@ -115,3 +115,35 @@ def components(edges: DataFrame) -> DataFrame:
     if found is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.select("node", F.col("up").alias("component"))
+
+
+#: Words of the sieve's bit table: 2^18 rows of 64 bits, a broadcast of a few MB whatever the input.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose long column `key` may be among the one column of keys; all that are, and few others.
+
+    A fixed-size bit table is broadcast instead of the keys, so that texts which cannot match stay out of the
+    shuffle of the join that follows. Null keys never pass.
+    """
+    spot = F.pmod(F.xxhash64(F.col(keys.columns[0]).cast("long")), F.lit(SIEVE_WORDS * 64))
+    table = keys.select(spot.alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits"))
+    kept = rows.columns
+    with_spot = rows.where(F.col(key).isNotNull()).withColumn("_spot", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SIEVE_WORDS * 64))).withColumn("_word", F.shiftright("_spot", 6))
+    return with_spot.join(F.broadcast(table), "_word").where(F.expr("(shiftrightunsigned(_bits, cast(_spot & 63 as int)) & 1) = 1")).select(*kept)
+
+
+def stars(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed (k, node): each key's smallest node where it has several, and (k, node, pivot) of those keys.
+
+    Only minima and maxima are aggregated, before the shuffle as well, so a key that a third of all nodes share is
+    no heavier than another.
+    """
+    several = keyed.groupBy("k").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").drop("top")
+    return several, keyed.join(several, "k")
+
+
+def sized_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has been counted to hold at most `rows` narrow rows; df itself otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
