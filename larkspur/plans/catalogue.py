@@ -1,4 +1,556 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each beside the SQL that it is held against."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions import hlc, routing
+from larkspur.operators import kv, observe, policy, txn, updates, vectors
+from larkspur.operators.find import find, found_total, project
+from larkspur.operators.filters import match
+from larkspur.plans.pipeline import aggregate
+from larkspur.sources.catalog import changes, key_range, load, newest
+from larkspur.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their labels, null where there are none."""
+    docs = load(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(load(spark, d, "labels"), "doc_id", "left")
+
+
+LABELLED = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+LINE = "l_orderkey, l_linenumber, l_quantity"
+
+
+def filtered(name: str, table: str, spec: dict, columns: str, where: str) -> None:
+    """A filter query: the rows of table that spec matches, and the SQL condition that means the same."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = labelled(spark, d) if table == "labelled" else load(spark, d, table)
+        return match(df, spec).select(*(c.strip() for c in columns.split(",")))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT {columns} FROM {LABELLED if table == 'labelled' else table} WHERE {where}"
+
+
+filtered("flt_eq", "lineitem", {"l_returnflag": "R"}, LINE, "l_returnflag = 'R'")
+filtered("flt_eq_null", "labelled", {"quality": None}, "doc_id, quality", "quality IS NULL")
+filtered("flt_ne", "labelled", {"quality": {"$ne": 1}}, "doc_id, quality", "quality IS DISTINCT FROM 1")
+filtered("flt_gt", "lineitem", {"l_quantity": {"$gt": 45}}, LINE, "l_quantity > 45")
+filtered("flt_gte", "labelled", {"quality": {"$gte": 1}}, "doc_id, quality", "coalesce(quality >= 1, false)")
+filtered("flt_lt", "labelled", {"quality": {"$lt": 1}}, "doc_id, quality", "quality IS NULL OR quality < 1")
+filtered("flt_lte", "part", {"p_size": {"$lte": 5}}, "p_partkey, p_size", "p_size <= 5")
+filtered("flt_null_literal", "labelled", {"quality": {"$gt": None}}, "doc_id, quality", "quality IS NOT NULL")
+filtered("flt_in", "orders", {"o_orderstatus": {"$in": ["F", "P"]}}, "o_orderkey, o_orderstatus", "o_orderstatus IN ('F', 'P')")
+filtered("flt_in_null", "labelled", {"quality": {"$in": [0, None]}}, "doc_id, quality", "quality IS NULL OR quality = 0")
+filtered("flt_nin", "labelled", {"quality": {"$nin": [1]}}, "doc_id, quality", "NOT coalesce(quality IN (1), false)")
+filtered("flt_exists", "labelled", {"quality": {"$exists": True}}, "doc_id, quality", "quality IS NOT NULL")
+filtered("flt_regex", "part", {"p_name": {"$regex": "^[a-m].*e"}}, "p_partkey, p_name", "regexp_matches(p_name, '^[a-m].*e')")
+filtered("flt_contains_str", "part", {"p_type": {"$contains": "S"}}, "p_partkey, p_type", "contains(p_type, 'S')")
+filtered("flt_and", "lineitem", {"$and": [{"l_quantity": {"$gte": 10, "$lt": 20}}, {"l_discount": {"$gt": 0.05}}]}, LINE, "l_quantity >= 10 AND l_quantity < 20 AND l_discount > 0.05")
+filtered("flt_or", "labelled", {"$or": [{"quality": 0}, {"toxic": 1}]}, "doc_id, quality, toxic", "coalesce(quality = 0, false) OR coalesce(toxic = 1, false)")
+filtered("flt_or_empty", "part", {"$or": []}, "p_partkey", "false")
+filtered("flt_nor", "labelled", {"$nor": [{"quality": 1}, {"lang": "en"}]}, "doc_id, quality, lang", "NOT (coalesce(quality = 1, false) OR lang = 'en')")
+filtered("flt_not", "labelled", {"$not": {"quality": {"$gte": 1}}}, "doc_id, quality", "NOT coalesce(quality >= 1, false)")
+filtered("flt_rank_fold", "orders", {"o_orderpriority": {"$gt": 3}, "o_totalprice": {"$lt": "a"}}, "o_orderkey", "true")
+filtered("flt_unknown_op", "part", {"p_size": {"$near": 3}}, "p_partkey", "false")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
+def q_flt_path(spark, d):
+    rows = load(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("props"))
+    return match(rows, {"props.k": {"$gte": 50}}).select("event_id", F.col("props.k").alias("k"))
+
+
+@query("SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
+def q_flt_contains_arr(spark, d):
+    rows = load(spark, d, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    return match(rows, {"words": {"$contains": "the"}}).select("doc_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+def q_find_sort_skip_limit(spark, d):
+    return find(load(spark, d, "orders"), {"o_orderstatus": "F"}, {"o_totalprice": -1}, 10, 20, {"o_totalprice": 1}, "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
+def q_find_default_limit(spark, d):
+    return find(load(spark, d, "orders"), key="o_orderkey").select("o_orderkey")
+
+
+@query("SELECT count(*) AS total FROM orders WHERE o_totalprice > 100000")
+def q_find_total(spark, d):
+    return found_total(load(spark, d, "orders"), {"o_totalprice": {"$gt": 100000}})
+
+
+EVENT_MS = "CAST(epoch_us(ts) // 1000 AS BIGINT)"
+
+
+def enveloped(spark, d):
+    """Events as documents with a time to live, some of them tombstones."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return load(spark, d, "events").select(
+        F.col("event_id").alias("_id"), "user_id", "value", ms.alias("created_at"), (F.col("event_id") % 7 * 86400).alias("ttl"), (F.col("event_id") % 13 == 0).alias("_tombstone")
+    )
+
+
+@query(f"SELECT event_id AS _id, value FROM events WHERE event_id % 13 <> 0 AND (event_id % 7 = 0 OR 1704672000000 <= {EVENT_MS} + event_id % 7 * 86400000)")
+def q_find_ttl(spark, d):
+    return find(enveloped(spark, d), limit=None, now_ms=1704672000000).select("_id", "value")
+
+
+@query("SELECT event_id AS _id, user_id FROM events WHERE event_id % 13 <> 0")
+def q_tombstone_hide(spark, d):
+    return find(enveloped(spark, d), limit=None).select("_id", "user_id")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def q_proj_include(spark, d):
+    return project(load(spark, d, "customer"), {"c_name": 1, "c_acctbal": 1}, "c_custkey")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def q_proj_exclude(spark, d):
+    return project(load(spark, d, "customer"), {"c_acctbal": 0, "c_mktsegment": 0}, "c_custkey")
+
+
+@query("SELECT c_name, c_nationkey AS nation FROM customer")
+def q_proj_rename(spark, d):
+    return aggregate(load(spark, d, "customer"), [{"$project": {"nation": "$c_nationkey", "c_name": 1}}])
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_discount >= 0.05 AND l_quantity < 24")
+def q_count_filter(spark, d):
+    return match(load(spark, d, "lineitem"), {"l_discount": {"$gte": 0.05}, "l_quantity": {"$lt": 24}}).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag AS _id, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 2) AS avg_price, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1")
+def q_pipeline_minimum(spark, d):
+    stages = [{"$match": {"l_quantity": {"$gt": 25}}}, {"$group": {"_id": "$l_returnflag", "qty": {"$sum": "$l_quantity"}, "avg_price": {"$avg": "$l_extendedprice"}, "n": {"$count": {}}}}, {"$sort": {"_id": 1}}]
+    return aggregate(load(spark, d, "lineitem"), stages).select("_id", F.round("qty", 2).alias("qty"), F.round("avg_price", 2).alias("avg_price"), "n")
+
+
+def grouped(name: str, stages: list, sql: str, table: str = "labelled", order: str = "doc_id") -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = labelled(spark, d) if table == "labelled" else load(spark, d, table)
+        out = aggregate(df, stages, order=order)
+        return out.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+    QUERIES[name] = run
+    SQL[name] = sql.format(labelled=LABELLED)
+
+
+grouped("grp_sum", [{"$group": {"_id": "$l_linestatus", "s": {"$sum": "$l_extendedprice"}}}], "SELECT l_linestatus AS _id, round(sum(l_extendedprice), 4) AS s FROM lineitem GROUP BY 1", "lineitem", "l_orderkey")
+grouped("grp_sum_literal", [{"$group": {"_id": "$lang", "n": {"$sum": 1}}}], "SELECT lang AS _id, CAST(count(*) AS DOUBLE) AS n FROM {labelled} GROUP BY 1")
+grouped("grp_sum_nonnum", [{"$group": {"_id": "$lang", "s": {"$sum": "$quality"}, "t": {"$sum": "$source"}}}], "SELECT lang AS _id, CAST(sum(coalesce(quality, 1)) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS t FROM {labelled} GROUP BY 1")
+grouped("grp_avg", [{"$group": {"_id": "$lang", "a": {"$avg": "$n_chars"}}}], "SELECT lang AS _id, round(avg(n_chars), 4) AS a FROM {labelled} GROUP BY 1")
+grouped("grp_avg_nulls", [{"$group": {"_id": "$lang", "a": {"$avg": "$quality"}}}], "SELECT lang AS _id, round(sum(coalesce(quality, 0)) / count(*), 4) AS a FROM {labelled} GROUP BY 1")
+grouped("grp_minmax", [{"$group": {"_id": "$source", "lo": {"$min": "$n_chars"}, "hi": {"$max": "$n_chars"}}}], "SELECT source AS _id, min(n_chars) AS lo, max(n_chars) AS hi FROM {labelled} GROUP BY 1")
+grouped("grp_minmax_seed", [{"$group": {"_id": "$source", "lo": {"$min": "$quality"}, "hi": {"$max": "$quality"}, "first": {"$min": "$lang"}}}], "SELECT source AS _id, CASE WHEN list(quality ORDER BY doc_id)[1] IS NOT NULL THEN min(quality) END AS lo, max(quality) AS hi, list(lang ORDER BY doc_id)[1] AS first FROM {labelled} GROUP BY 1")
+grouped("grp_count", [{"$group": {"_id": "$event_type", "n": {"$count": {}}}}], "SELECT event_type AS _id, count(*) AS n FROM events GROUP BY 1", "events", "event_id")
+grouped("grp_null_key", [{"$group": {"_id": None, "n": {"$count": {}}}}], "SELECT CAST(NULL AS VARCHAR) AS _id, count(*) AS n FROM events HAVING count(*) > 0", "events", "event_id")
+grouped("grp_null_group", [{"$group": {"_id": "$quality", "n": {"$count": {}}}}], "SELECT quality AS _id, count(*) AS n FROM {labelled} GROUP BY 1")
+grouped("grp_empty_input", [{"$match": {"lang": "xx"}}, {"$group": {"_id": None, "n": {"$count": {}}}}], "SELECT CAST(NULL AS VARCHAR) AS _id, count(*) AS n FROM {labelled} WHERE lang = 'xx' HAVING count(*) > 0")
+grouped("agg_sort_limit_skip", [{"$sort": {"o_totalprice": -1}}, {"$skip": 5}, {"$limit": 15}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}], "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 5", "orders", "o_orderkey")
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS _id, count(*) AS n FROM events GROUP BY 1")
+def q_grp_nested_key(spark, d):
+    rows = load(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("props"))
+    return aggregate(rows, [{"$group": {"_id": "$props.k", "n": {"$count": {}}}}], order="event_id")
+
+
+@query("WITH w AS (SELECT unnest(string_split(text, ' ')) AS _id FROM documents) SELECT _id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) > 20")
+def q_unwind_words(spark, d):
+    rows = load(spark, d, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    return aggregate(rows, [{"$unwind": "$words"}, {"$group": {"_id": "$words", "n": {"$count": {}}}}, {"$match": {"n": {"$gt": 20}}}], order="doc_id")
+
+
+def turned(spark, d):
+    rows = load(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("turns"))
+    return rows
+
+
+TURNED = "(SELECT conv_id, list(turn) FILTER (WHERE role = 'assistant') AS turns FROM conversations GROUP BY conv_id)"
+
+
+@query(f"SELECT conv_id, unnest(CASE WHEN turns IS NULL OR len(turns) = 0 THEN [NULL] ELSE turns END) AS turns FROM {TURNED}")
+def q_unwind_preserve(spark, d):
+    return aggregate(turned(spark, d), [{"$unwind": {"path": "$turns", "preserveNullAndEmptyArrays": True}}], order="conv_id")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def q_unwind_scalar(spark, d):
+    return aggregate(load(spark, d, "region"), [{"$unwind": "$r_name"}], order="r_regionkey")
+
+
+@query("SELECT n.n_nationkey, n.n_name, coalesce(list(s.s_suppkey ORDER BY s.s_suppkey) FILTER (WHERE s.s_suppkey IS NOT NULL), []) AS suppliers FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY 1, 2")
+def q_lookup_array(spark, d):
+    suppliers = load(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    out = aggregate(load(spark, d, "nation"), [{"$lookup": {"from": "supplier", "localField": "n_nationkey", "foreignField": "s_nationkey", "as": "suppliers"}}], {"supplier": suppliers})
+    return out.select("n_nationkey", "n_name", F.transform("suppliers", lambda s: s["s_suppkey"]).alias("suppliers"))
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def q_lookup_unwind(spark, d):
+    stages = [{"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "c"}}, {"$unwind": "$c"}, {"$project": {"o_orderkey": 1, "c_name": "$c.c_name"}}]
+    return aggregate(load(spark, d, "orders"), stages, {"customer": load(spark, d, "customer")}, order="o_orderkey")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_lookup_anti(spark, d):
+    stages = [{"$lookup": {"from": "labels", "localField": "doc_id", "foreignField": "doc_id", "as": "l"}}, {"$match": {"l": []}}, {"$project": {"doc_id": 1, "lang": 1}}]
+    return aggregate(load(spark, d, "documents").select("doc_id", "lang"), stages, {"labels": load(spark, d, "labels")}, order="doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def q_lookup_semi(spark, d):
+    stages = [{"$lookup": {"from": "labels", "localField": "doc_id", "foreignField": "doc_id", "as": "l"}}, {"$match": {"l": {"$ne": []}}}, {"$project": {"doc_id": 1, "lang": 1}}]
+    return aggregate(load(spark, d, "documents").select("doc_id", "lang"), stages, {"labels": load(spark, d, "labels")}, order="doc_id")
+
+
+@query("SELECT r.r_regionkey, list(n.n_name ORDER BY x.pos) AS names FROM region r, (SELECT unnest([0, 1, 1]) AS step, unnest([0, 1, 2]) AS pos) x JOIN nation n ON n.n_nationkey = r.r_regionkey + x.step GROUP BY 1")
+def q_lookup_local_array(spark, d):
+    local = load(spark, d, "region").select("r_regionkey", F.array(F.col("r_regionkey"), F.col("r_regionkey") + 1, F.col("r_regionkey") + 1).alias("ks"))
+    nation = load(spark, d, "nation").select("n_nationkey", "n_name")
+    out = aggregate(local, [{"$lookup": {"from": "nation", "localField": "ks", "foreignField": "n_nationkey", "as": "ns"}}], {"nation": nation}, order="r_regionkey")
+    return out.select("r_regionkey", F.transform("ns", lambda n: n["n_name"]).alias("names"))
+
+
+@query("SELECT n.n_nationkey, list(r.r_name ORDER BY r.r_regionkey) AS regions FROM nation n JOIN region r ON n.n_nationkey IN (r.r_regionkey, r.r_regionkey + 5) GROUP BY 1")
+def q_lookup_foreign_array(spark, d):
+    foreign = load(spark, d, "region").select("r_regionkey", "r_name", F.array(F.col("r_regionkey"), F.col("r_regionkey") + 5).alias("ks"))
+    stages = [{"$lookup": {"from": "region", "localField": "n_nationkey", "foreignField": "ks", "as": "rs"}}, {"$match": {"rs": {"$ne": []}}}]
+    out = aggregate(load(spark, d, "nation"), stages, {"region": foreign}, order="n_nationkey")
+    return out.select("n_nationkey", F.transform("rs", lambda r: r["r_name"]).alias("regions"))
+
+
+@query("""SELECT n_name AS _id, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity > 30 AND r_name = 'ASIA' GROUP BY 1 ORDER BY sum(l_extendedprice) DESC LIMIT 3""")
+def q_pipeline_multi(spark, d):
+    names = {n: load(spark, d, n) for n in ("orders", "customer", "nation", "region")}
+    join = lambda table, local, key, name: [{"$lookup": {"from": table, "localField": local, "foreignField": key, "as": name}}, {"$unwind": f"${name}"}]
+    stages = [{"$match": {"l_quantity": {"$gt": 30}}}, *join("orders", "l_orderkey", "o_orderkey", "o"), *join("customer", "o.o_custkey", "c_custkey", "c"), *join("nation", "c.c_nationkey", "n_nationkey", "n"), *join("region", "n.n_regionkey", "r_regionkey", "r")]
+    stages += [{"$match": {"r.r_name": "ASIA"}}, {"$group": {"_id": "$n.n_name", "revenue": {"$sum": "$l_extendedprice"}, "n": {"$count": {}}}}, {"$sort": {"revenue": -1}}, {"$limit": 3}]
+    return aggregate(load(spark, d, "lineitem"), stages, names, order=["l_orderkey", "l_linenumber"]).select("_id", F.round("revenue", 2).alias("revenue"), "n")
+
+
+def updated(name: str, update: dict, columns: str, sql: str) -> None:
+    """An update of parts that hold tags: two letters of the name and the brand."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        part = load(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", F.array(F.substring("p_name", 1, 1), F.substring("p_name", 2, 1), F.substring("p_name", 1, 1)).alias("tags"))
+        out = updates.apply_update(part, update)
+        return out.select(*(F.round(c, 4).alias(c) if dict(out.dtypes)[c] == "double" else F.col(c) for c in columns.split(", ")))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH t AS (SELECT *, [substr(p_name, 1, 1), substr(p_name, 2, 1), substr(p_name, 1, 1)] AS tags FROM part) SELECT {sql} FROM t"
+
+
+updated("upd_set", {"$set": {"p_size": 7, "note": "x"}}, "p_partkey, p_size, note", "p_partkey, 7 AS p_size, 'x' AS note")
+updated("upd_unset", {"$unset": ["p_size", "tags"]}, "p_partkey, p_name, p_retailprice", "p_partkey, p_name, round(p_retailprice, 4) AS p_retailprice")
+updated("upd_inc", {"$inc": {"p_size": 2, "p_name": 3, "fresh": 1}}, "p_partkey, p_size, p_name, fresh", "p_partkey, CAST(p_size + 2 AS DOUBLE) AS p_size, CAST(3 AS DOUBLE) AS p_name, CAST(1 AS DOUBLE) AS fresh")
+updated("upd_mul", {"$mul": {"p_retailprice": 1.5, "fresh": 4}}, "p_partkey, p_retailprice, fresh", "p_partkey, round(p_retailprice * 1.5, 4) AS p_retailprice, CAST(0 AS DOUBLE) AS fresh")
+updated("upd_push", {"$push": {"tags": "z", "p_size": 1}}, "p_partkey, tags, p_size", "p_partkey, list_append(tags, 'z') AS tags, [1] AS p_size")
+updated("upd_pull", {"$pull": {"tags": "a", "p_size": 1}}, "p_partkey, tags, p_size", "p_partkey, list_filter(tags, lambda x: x <> 'a') AS tags, p_size")
+updated("upd_addtoset", {"$addToSet": {"tags": "a"}}, "p_partkey, tags", "p_partkey, CASE WHEN list_contains(tags, 'a') THEN tags ELSE list_append(tags, 'a') END AS tags")
+updated("upd_rename", {"$rename": {"p_name": "title", "nothing": "other"}}, "p_partkey, title", "p_partkey, p_name AS title")
+updated("upd_bare", {"label": "b"}, "p_partkey, label", "p_partkey, 'b' AS label")
+
+
+@query("SELECT p_partkey AS _id, CASE WHEN p_partkey <= 10 AND p_size = 1 THEN 2 ELSE p_size END AS version, CASE WHEN p_partkey <= 10 AND p_size = 1 THEN 'UPDATED' WHEN p_partkey <= 10 THEN 'CONFLICT' ELSE 'UNCHANGED' END AS status, CASE WHEN p_partkey <= 10 AND p_size = 1 THEN 'new' ELSE p_name END AS p_name FROM part")
+def q_upd_versioned(spark, d):
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("_id"), F.col("p_size").alias("version"), F.lit(0).alias("updated_at"), "p_name")
+    return updates.update_versioned(rows, {"$set": {"p_name": "new"}}, 5, list(range(11)), 1).select("_id", "version", "status", "p_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0")
+def q_write_insert_dedupe(spark, d):
+    all_rows = load(spark, d, "customer").select("c_custkey", "c_name")
+    new = all_rows.withColumn("c_name", F.lit("new"))
+    return txn.insert_new(all_rows.where("c_custkey % 3 <> 0"), new.unionByName(new), "c_custkey")
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
+def q_write_unique_violations(spark, d):
+    return txn.unique_violations(load(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT c_custkey AS _id, CASE WHEN c_custkey % 10 = 1 THEN 'changed' ELSE c_name END AS value, CASE WHEN c_custkey % 10 = 1 THEN 2 ELSE 1 END AS version FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT -c_custkey, 'added', 1 FROM customer WHERE c_custkey % 10 = 3")
+def q_txn_apply(spark, d):
+    base = load(spark, d, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("value"), F.lit(1).alias("version"), F.lit(0).alias("updated_at"))
+    op = lambda n, kind, key, value, seq: base.where(f"_id % 10 = {n}").select((F.col("_id") * 10 + seq).alias("seq"), F.lit(kind).alias("op"), key.alias("_id"), F.lit(value).alias("value"), F.lit(0).alias("expected_version"))
+    ops = op(1, "update", F.col("_id"), "first", 0).unionByName(op(1, "update", F.col("_id"), "changed", 1)).unionByName(op(2, "remove", F.col("_id"), None, 2)).unionByName(op(3, "insert", -F.col("_id"), "added", 3))
+    return txn.execute(base, ops, 1)[0].select("_id", "value", "version")
+
+
+UNIT = [1.0, -0.5] * 32
+_Q = "CAST(" + str(UNIT) + " AS DOUBLE[])"
+_E = "CAST(embedding AS DOUBLE[])"
+_COS = f"list_dot_product({_E}, {_Q}) / (sqrt(list_dot_product({_E}, {_E})) * sqrt(list_dot_product({_Q}, {_Q})) + 1e-10)"
+
+
+def searched(name: str, metric: str, expression: str, floor: float = -1e9) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = vectors.search(load(spark, d, "embeddings"), UNIT, 10, metric, floor)
+        return out.select("vec_id", F.round("score", 5).alias("score"))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT vec_id, round({expression}, 5) AS score FROM embeddings WHERE {expression} >= {floor} ORDER BY {expression} DESC, vec_id LIMIT 10"
+
+
+searched("vec_cosine", "cosine", _COS)
+searched("vec_dot", "dot", f"list_dot_product({_E}, {_Q})")
+searched("vec_euclidean", "euclidean", f"1 / (1 + list_distance({_E}, {_Q}))")
+searched("vec_min_score", "cosine", _COS, 0.25)
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings c WHERE q.vec_id < 10)
+SELECT query_id, vec_id, round(s, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 3""")
+def q_vec_batch_knn(spark, d):
+    rows = load(spark, d, "embeddings")
+    asked = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.search_many(rows, asked, 3, "dot").select("query_id", "vec_id", F.round("score", 5).alias("score"))
+
+
+SALES = [policy.Policy("own", "SELECT", ["sales"], "o_orderstatus = 'F' AND NOT o_totalprice < 50000"), policy.Policy("urgent", "ALL", [], "o_orderpriority IN ('1-URGENT', '2-HIGH')"), policy.Policy("off", "ALL", [], "", enabled=False)]
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def q_rls_filter(spark, d):
+    return policy.secure(load(spark, d, "orders"), SALES, "SELECT", {"guest"}).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND NOT o_totalprice < 50000) OR o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def q_rls_multi_policy(spark, d):
+    return policy.secure(load(spark, d, "orders"), SALES, "SELECT", {"sales"}).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE false")
+def q_rls_deny(spark, d):
+    return policy.secure(load(spark, d, "orders"), [policy.Policy("broken", using="o_orderstatus = = 'F'")]).select("o_orderkey")
+
+
+@query("SELECT event_type AS role, (event_type IN ('click', 'purchase')) AS allowed FROM events GROUP BY event_type")
+def q_priv_check(spark, d):
+    parents = {"purchase": ["click"]}
+    permissions = [{"role": "click", "target": {"type": "collection", "name": ""}, "privileges": policy.grant(0, "SELECT", "INSERT")}]
+    roles = load(spark, d, "events").select(F.col("event_type").alias("role")).distinct()
+    names = ["click", "error", "purchase", "signup", "view"]
+    yes = [n for n in names if policy.allowed(permissions, policy.closure(n, parents), {"type": "collection", "name": "orders"}, "SELECT")]
+    return roles.select("role", F.col("role").isin(yes).alias("allowed"))
+
+
+def clocked(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return load(spark, d, "events").select(F.col("user_id").alias("_id"), "event_id", "value", hlc.render(ms, F.col("event_id") % 65536).alias("_hlc"))
+
+
+CLOCK = f"lower(printf('%012x', {EVENT_MS}) || printf('%04x', event_id % 65536))"
+
+
+@query(f"SELECT event_id, {CLOCK} AS _hlc, {EVENT_MS} AS ms FROM events")
+def q_hlc_render(spark, d):
+    return clocked(spark, d).select("event_id", "_hlc", hlc.millis(F.col("_hlc")).alias("ms"))
+
+
+@query(f"SELECT user_id AS _id, arg_max(event_id, {CLOCK}) AS event_id, max({CLOCK}) AS _hlc FROM events GROUP BY 1")
+def q_lww_merge(spark, d):
+    rows = clocked(spark, d).drop("value")
+    return hlc.merge(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
+
+
+@query(f"SELECT event_id, {CLOCK} AS _hlc FROM events WHERE {CLOCK} > '018cd000000000000' ORDER BY 2, user_id LIMIT 1024")
+def q_changes_since(spark, d):
+    return hlc.changes_since(clocked(spark, d), "018cd000000000000").select("event_id", "_hlc")
+
+
+@query("SELECT event_id AS lsn, event_type FROM events WHERE event_id > 100 ORDER BY 1 LIMIT 50")
+def q_change_feed(spark, d):
+    return changes(load(spark, d, "events").select(F.col("event_id").alias("lsn"), "event_type"), 100, 50)
+
+
+@query("SELECT user_id, max(event_id) AS seq FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+def q_compact_newest(spark, d):
+    rows = load(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("tombstone"))
+    return newest(rows, "user_id", "seq").select("user_id", "seq")
+
+
+@query("SELECT p_name, p_partkey FROM part WHERE p_name >= 'c' AND p_name < 'f'")
+def q_key_range(spark, d):
+    return key_range(load(spark, d, "part").select("p_name", "p_partkey"), "p_name", "c", "f")
+
+
+@query()
+def q_route_balance(spark, d):
+    ring = routing.Ring(["s0", "s1", "s2"])
+    return load(spark, d, "events").select(ring.route(F.col("event_id")).alias("owner")).groupBy("owner").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_reshard_moves(spark, d):
+    rows = load(spark, d, "events").select("event_id")
+    return routing.moves(rows, "event_id", routing.Ring(["s0", "s1", "s2"]), routing.Ring(["s0", "s1", "s2", "s3"]))
+
+
+def op_log(spark, d, ops: dict[str, str]) -> DataFrame:
+    """Events as an operation log: the event's kind names the operation, the user is the key."""
+    kind = F.col("event_type")
+    op = F.lit(None).cast("string")
+    for event, name in ops.items():
+        op = F.when(kind == event, name).otherwise(op)
+    rows = load(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("key"), op.alias("op"), (F.col("event_id") % 5).cast("string").alias("field"), (F.col("event_id") % 11).cast("string").alias("value"),
+        F.round("value", 2).alias("score"), (F.col("event_id") % 4 * 1000).alias("ttl"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+    )
+    return rows.where("op IS NOT NULL")
+
+
+def log_sql(ops: dict[str, str]) -> str:
+    case = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in ops.items())
+    return f"(SELECT * FROM (SELECT event_id AS seq, user_id AS key, CASE event_type {case} END AS op, CAST(event_id % 5 AS VARCHAR) AS field, CAST(event_id % 11 AS VARCHAR) AS value, round(value, 2) AS score, event_id % 4 * 1000 AS ttl, {EVENT_MS} AS ts FROM events) WHERE op IS NOT NULL)"
+
+
+STRING_OPS = {"click": "set", "purchase": "incr", "view": "get", "error": "del", "signup": "decr"}
+HASH_OPS = {"click": "hset", "view": "hset", "error": "hdel"}
+LIST_OPS = {"click": "lpush", "view": "rpush"}
+SET_OPS = {"click": "sadd", "view": "sadd", "error": "srem"}
+ZSET_OPS = {"click": "zadd", "view": "zadd", "error": "zrem"}
+TTL_OPS = {"click": "set", "view": "expire", "signup": "persist", "error": "del"}
+
+
+@query(f"SELECT key, arg_max(value, seq) AS value FROM {log_sql(STRING_OPS)} WHERE op IN ('set', 'del') GROUP BY 1 HAVING arg_max(op, seq) = 'set'")
+def q_kv_set_last(spark, d):
+    return kv.last_set(op_log(spark, d, STRING_OPS))
+
+
+@query(f"""WITH l AS (SELECT * FROM {log_sql(STRING_OPS)}), b AS (SELECT key, max(seq) AS s, arg_max(op, seq) AS op, arg_max(value, seq) AS v FROM l WHERE op IN ('set', 'del') GROUP BY 1),
+i AS (SELECT l.key, sum(CASE WHEN l.op = 'incr' THEN CAST(l.value AS BIGINT) ELSE -CAST(l.value AS BIGINT) END) AS delta FROM l LEFT JOIN b ON l.key = b.key WHERE l.op IN ('incr', 'decr') AND (b.s IS NULL OR l.seq > b.s) GROUP BY 1)
+SELECT coalesce(b.key, i.key) AS key, CAST(CASE WHEN b.op = 'set' THEN CAST(b.v AS BIGINT) ELSE 0 END + coalesce(delta, 0) AS BIGINT) AS value FROM b FULL JOIN i ON b.key = i.key WHERE delta IS NOT NULL OR b.op = 'set'""")
+def q_kv_incr(spark, d):
+    return kv.counters(op_log(spark, d, STRING_OPS))
+
+
+@query(f"SELECT key, field, arg_max(value, seq) AS value FROM {log_sql(HASH_OPS)} GROUP BY 1, 2 HAVING arg_max(op, seq) = 'hset'")
+def q_kv_hash(spark, d):
+    return kv.hashes(op_log(spark, d, HASH_OPS))
+
+
+_LIST = f"(SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN op = 'lpush' THEN -seq ELSE seq END) - 1 AS pos, count(*) OVER (PARTITION BY key) AS size FROM {log_sql(LIST_OPS)})"
+
+
+@query(f"SELECT key, value, pos FROM {_LIST} WHERE pos >= greatest(size - 5, 0) AND pos <= size - 2")
+def q_kv_list_range(spark, d):
+    return kv.list_range(op_log(spark, d, LIST_OPS), -5, -2)
+
+
+@query(f"SELECT key, value FROM {log_sql(SET_OPS)} GROUP BY 1, 2 HAVING arg_max(op, seq) = 'sadd'")
+def q_kv_set_members(spark, d):
+    return kv.members(op_log(spark, d, SET_OPS))
+
+
+@query(f"WITH z AS (SELECT key, value, arg_max(score, seq) AS score FROM {log_sql(ZSET_OPS)} GROUP BY 1, 2 HAVING arg_max(op, seq) = 'zadd') SELECT key, value, score, row_number() OVER (PARTITION BY key ORDER BY score, value) - 1 AS rank FROM z QUALIFY rank < 3")
+def q_kv_zrange(spark, d):
+    return kv.sorted_set(op_log(spark, d, ZSET_OPS)).where("rank < 3")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name GLOB '?a*e*'")
+def q_kv_glob(spark, d):
+    return load(spark, d, "part").where(kv.glob(F.col("p_name"), "?a*e*")).select("p_partkey", "p_name")
+
+
+@query(f"""WITH x AS (SELECT key, arg_max(op, seq) AS op, arg_max(ttl, seq) AS ttl, arg_max(ts, seq) AS ts FROM {log_sql(TTL_OPS)} GROUP BY 1),
+e AS (SELECT key, CASE WHEN op IN ('set', 'expire') AND ttl > 0 THEN ts + ttl * 1000 END AS ends FROM x WHERE op <> 'del')
+SELECT key, CAST(CASE WHEN ends IS NULL THEN -1 ELSE floor((ends - 1706659200000) / 1000.0) END AS BIGINT) AS ttl FROM e WHERE ends IS NULL OR 1706659200000 < ends""")
+def q_kv_ttl(spark, d):
+    return kv.ttl_state(op_log(spark, d, TTL_OPS), F.lit(1706659200000))
+
+
+@query("SELECT user_id AS key, max(event_id) AS touched FROM events GROUP BY 1 QUALIFY row_number() OVER (ORDER BY touched DESC) <= 40")
+def q_kv_lru(spark, d):
+    log = load(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
+    return kv.lru(log, 40, 1).select("key", "touched")
+
+
+@query(f"""WITH l AS (SELECT * FROM {log_sql(STRING_OPS)}), h AS (SELECT key, arg_max(value, seq) AS value FROM l WHERE op IN ('set', 'del') GROUP BY 1 HAVING arg_max(op, seq) = 'set'),
+g AS (SELECT op, last_value(CASE WHEN op IN ('set', 'del') THEN op END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM l)
+SELECT (SELECT count(*) FROM h) AS keys, (SELECT CAST(sum(strlen(CAST(key AS VARCHAR)) + strlen(value)) AS BIGINT) FROM h) AS mem_bytes, count(*) FILTER (WHERE last = 'set') AS hits,
+count(*) FILTER (WHERE NOT coalesce(last = 'set', false)) AS misses, round(count(*) FILTER (WHERE last = 'set') / count(*), 6) AS hit_rate FROM g WHERE op = 'get'""")
+def q_kv_stats(spark, d):
+    return kv.stats(op_log(spark, d, STRING_OPS)).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+_BUCKET = "CASE " + " ".join(f"WHEN value * 100 <= {b} THEN CAST({b} AS DOUBLE)" for b in observe.BUCKETS) + " ELSE CAST('inf' AS DOUBLE) END"
+
+
+@query(f"WITH c AS (SELECT event_type AS route, {_BUCKET} AS le, count(*) AS n FROM events GROUP BY 1, 2) SELECT route, le, CAST(sum(n) OVER (PARTITION BY route ORDER BY le) AS BIGINT) AS cumulative FROM c")
+def q_obs_histogram(spark, d):
+    return observe.histogram(load(spark, d, "events").withColumn("ms", F.col("value") * 100), "event_type", "ms")
+
+
+@query("SELECT event_type AS route, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def q_obs_quantile(spark, d):
+    out = observe.quantiles(load(spark, d, "events"), "event_type", "value", exact=True)
+    return out.select("route", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
+
+
+@query("SELECT date_trunc('day', ts) AS start, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS bad, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS ratio FROM events GROUP BY 1")
+def q_obs_error_ratio(spark, d):
+    return observe.ratio_by_window(load(spark, d, "events"), "ts", F.col("event_type") == "error").withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def q_obs_rate_window(spark, d):
+    rows = load(spark, d, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return rows.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS recent FROM events")
+def q_login_rate(spark, d):
+    return observe.rate_limited(load(spark, d, "events"), "user_id", "ts", 10, 86400).select("event_id", "user_id", "recent")
+
+
+@query("SELECT page_id, regexp_replace(url || '/0123456789abcdef01', '/[0-9a-fA-F_-]{16,}', '/:id', 'g') AS route FROM pages")
+def q_obs_route(spark, d):
+    return load(spark, d, "pages").select("page_id", observe.canonical_route(F.concat("url", F.lit("/0123456789abcdef01"))).alias("route"))
+
+
+def event_stream(spark, d) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def q_stream_lww(spark, d):
+    rows = event_stream(spark, d).select("user_id", "event_id", "event_type")
+    return streams.run_once(streams.latest(rows, "user_id", "event_id"), "stream_lww")
+
+
+@query("SELECT user_id AS key, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def q_stream_kv(spark, d):
+    rows = event_stream(spark, d).where("event_type = 'purchase'").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"))
+    return streams.run_once(rows, "stream_kv")
+
+
+@query("SELECT event_id AS message, event_type AS channel FROM events WHERE event_type IN ('signup', 'error')")
+def q_stream_pubsub(spark, d):
+    rows = event_stream(spark, d).select(F.col("event_id").alias("message"), F.col("event_type").alias("channel"))
+    return streams.run_once(streams.channel(rows, "signup", "error"), "stream_pubsub", "append")
