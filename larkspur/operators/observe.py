@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed upper bounds of the latency buckets, in milliseconds.
 BUCKETS = [1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000]
@@ -46,7 +47,7 @@ def canonical_route(path: Column) -> Column:
 
 def token_bucket(df: DataFrame, key: str, ts_seconds: str, rate: float, burst: float) -> DataFrame:
     """df with allowed: a bucket of `burst` tokens a key refills at `rate` a second. A recurrence, so a task a key."""
-    schema = df.schema.add("allowed", "boolean")
+    schema = T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def run(rows):
         rows = rows.sort_values(ts_seconds, kind="stable")
