@@ -1,20 +1,26 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
-Lines that are equal after trimming and lower-casing are one node, named by the first 64 bits of their MD5. A node's
+Lines that are equal after trimming and lower-casing are one node, named by a 64-bit hash. A node's
 shingles are the runs of `SHINGLE` characters that start at a word; MinHash signatures of them are banded. In each
-band a line is held against the bucket's smallest node first; what a bucket still holds in different components is
-then compared pair by pair inside a join condition, so no pair of lines that share a band is left out and only
-links leave the join. Verified links go through a distributed union-find, and the first line of each component stays.
+band a bucket's lines are held against one of them, then against another; what a bucket still holds in different
+components is compared pair by pair inside a join condition, so no pair of lines that share a band is left out and
+only links leave the join. Verified links go through a distributed union-find, and the first line of each component stays.
 """
 
 from __future__ import annotations
 
+from random import Random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import components, cut, fresh, load, prepare, sieve, stars
 
 SHINGLE, BANDS, ROWS = 16, 5, 2
+#: Rounds in which a bucket's nodes meet one of them only, before what is left meets pair by pair.
+STAR_ROUNDS = 2
+#: Shingle hashes under different masks order differently; each order's least one is a MinHash.
+MASKS = [Random(9 + i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS)]
 #: Links at a Jaccard similarity of 4/5 or more. At that similarity a pair shares a band with probability 0.994.
 NUMERATOR, DENOMINATOR = 4, 5
 
@@ -22,18 +28,18 @@ NUMERATOR, DENOMINATOR = 4, 5
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), line (number), h (node), norm of every line that has a word."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
-    norm = F.lower(F.trim(F.regexp_replace("raw", r"[\t\r\x0b\f]", " ")))
-    return each.select("doc_id", "t", "line", norm.alias("norm")).where("norm <> ''").withColumn("h", F.conv(F.substring(F.md5("norm"), 1, 15), 16, 10).cast("long"))
+    norm = F.lower(F.trim(F.translate("raw", "\t\r\x0b\f", "    ")))
+    return each.select("doc_id", "t", "line", norm.alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
 
 def shingles() -> F.Column:
-    found = F.regexp_extract_all("norm", F.lit(rf"(?<![^ ])(?=([^ ].{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    found = F.regexp_extract_all("norm", F.lit(rf"(?=([^ ].{{0,{SHINGLE - 1}}}))[^ ]++ *+"), F.lit(1))
     return F.transform(found, lambda x: F.xxhash64(x))
 
 
 def band_keys() -> F.Column:
-    salted = lambda i: lambda x: F.xxhash64(x, F.lit(i))
-    least = [F.array_min(F.transform("s", salted(i))) for i in range(BANDS * ROWS)]
+    masked = lambda mask: lambda x: x.bitwiseXOR(F.lit(mask))
+    least = [F.array_min(F.transform("s", masked(mask))) for mask in MASKS]
     return F.array(*(F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
 
@@ -50,18 +56,19 @@ def duplicates(docs: DataFrame) -> DataFrame:
     found = lines_of(docs).withColumn("s", shingles())
     seen = cut(found.select("doc_id", "t", "line", "h", band_keys().alias("keys")))
     keyed = seen.select(F.explode("keys").alias("k"), F.col("h").alias("node"))
-    several, members = stars(keyed)
-    members = cut(members.distinct())
-    edges = cut(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = members.select("node")
-    text = cut(sieve(lines_of(docs).select("h", "norm"), "h", wanted).dropDuplicates(["h"]).select("h", F.array_distinct(shingles()).alias("s")))
+    members = cut(stars(keyed)[1].select("k", "node").distinct())
+    text = cut(sieve(lines_of(docs).select("h", "norm"), "h", members.select("node")).distinct().select("h", F.array_distinct(shingles()).alias("s")))
     side = lambda name, array: text.select(F.col("h").alias(name), F.col("s").alias(array))
-    links = cut(edges.join(side("a", "sa"), "a").join(side("b", "sb"), "b").where(alike("sa", "sb")).select("a", "b"))
-    parts = components(links)
-    rest = members.where("node <> pivot").join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("c"))
-    # where the pivot took a node into its component, a bucket's other nodes still meet that node below
-    open_keys = rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    rest = cut(rest.join(open_keys, "k"))
+    rest, links, parts = members.withColumn("c", F.col("node")), None, None
+    for r in range(STAR_ROUNDS):
+        heads = rest.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", "k", F.lit(r))).alias("head"))
+        edges = rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+        found = edges.join(side("a", "sa"), "a").join(side("b", "sb"), "b").where(alike("sa", "sb")).select("a", "b")
+        links = cut(found if links is None else links.unionByName(found))
+        parts = components(links)
+        named = members.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("c"))
+        still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+        rest = cut(named.join(still, "k"))
     if not rest.isEmpty():
         one = rest.join(side("node", "s"), "node")
         left, right = (one.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "c", "s"))) for x in "ab")
