@@ -92,8 +92,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find: edges (a, b) of longs -> (node, component), component the smallest node reachable.
 
-    Every round hooks each node to its smallest neighbour, jumps pointers once, and contracts the edges to their
-    ends' pointers, so rounds grow with the logarithm of the graph. Only minima are aggregated; no node's neighbours are
+    Every round hooks each node to its smallest neighbour, jumps pointers until they rest, and contracts the edges
+    to their ends' roots, so rounds grow with the logarithm of the graph. Only minima are aggregated; no node's neighbours are
     gathered. Null ends are dropped; nodes without an edge do not appear. No edges: no rows.
     """
     least = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -101,9 +101,17 @@ def components(edges: DataFrame) -> DataFrame:
     hooks = []
     while not live.isEmpty():
         both = live.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up"))
-        above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        hooks.append(hook := cut(hook.join(above, "up").select("node", F.col("top").alias("up"))))
+        hook = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")))
+        while True:  # pointers rest once the last of three jumps moves none
+            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            jumped = hook
+            for _ in range(3):
+                jumped = jumped.select("node", "up").join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            jumped = cut(jumped)
+            hook = jumped.select("node", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        hooks.append(hook)
         ends = live.join(hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(hook.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
         live = cut(ends.where("ua <> ub").select(*least(F.col("ua"), F.col("ub"))).distinct())
     if not hooks:
