@@ -149,7 +149,7 @@ def tasks(members: DataFrame) -> DataFrame:
     """members (node, n, family) -> (task, node): every two members whose sizes can link meet in a task of bounded size."""
     step = log(100 / LINK)
     members = members.withColumn("g", F.floor(F.log(F.col("n").cast("double")) / step))
-    room = F.greatest(F.lit(16), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most")).cast("int")))
+    room = F.greatest(F.lit(2), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most")).cast("int")))
     sizes = cut(members.groupBy("family", "g").agg(F.count("*").alias("count"), F.max("n").alias("most")).withColumn("blocks", F.ceil(F.col("count") / room).cast("int")).drop("most"))
     near = sizes
     for shift, name in ((1, "above"), (-1, "below")):

@@ -1,0 +1,253 @@
+"""The ten operators on small tables: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import common, jaccard_join, langid, line_dedup, mixing, packing, quality_model, quality_rules, substring_dedup, topk, warc_audit
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, rank int, component string"
+
+
+def words(rng, n, stem=""):
+    return " ".join(stem + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [words(rng, n) for n in (30, 80, 200, 60, 120, 7, 3)]
+    out = [None, "", " \t\n", "one", *base, base[2], base[2], base[2].upper()]
+    for k in range(8):  # near copies, some over the threshold and some under
+        w = base[2].split(" ")
+        for _ in range(k):
+            w[rng.randrange(len(w))] = "edit"
+        out.append(" ".join(w))
+    passage = words(rng, 55)
+    out += [words(rng, 40) + " " + passage + "\n" + words(rng, 30) for _ in range(3)]
+    out += [words(rng, 9000), "\n".join([base[1], base[0], base[1], "Common line of text here", base[1] + " tail"]), "Common line of text here\nsomething else"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", None][i % 3], 1, "x", 2, "y") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[5], (None, texts[6], None, None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_components_find_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
+    got = {r[0]: r[1] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[100] == got[95] == 90
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_dedup(docs, none):
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_removed"] and out.count() == docs.count() and line_dedup.dedup_lines(none).count() == 0
+    rows = {r.doc_id: r for r in out.collect()}
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    assert rows[0].text is None and rows[1].text == "" and rows[2].text == whole[2]
+    last = max(i for i in rows if i is not None)
+    assert rows[last].text == "something else" and rows[last].n_chars == len("something else")
+    assert rows[last - 1].text.split("\n") == ["Common line of text here"]  # its other lines stand in documents before it
+    assert "python" not in out._jdf.queryExecution().toString().lower()
+
+
+def brute_components(rows):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in sets if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in sets:
+        for j, b in sets:
+            if i is not None and j is not None and i < j and a and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return Counter((i, len(s), find(i) if i is not None else None) for i, s in sets)
+
+
+def test_jaccard_join(docs, none):
+    got = Counter(tuple(r) for r in jaccard_join.join(docs).collect())
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()]) and jaccard_join.join(none).count() == 0
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {1, 2, 3} <= {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_blocks_keep_every_link(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    got = Counter(tuple(r) for r in jaccard_join.join(docs).collect())
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_small_sets_share_a_subset_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for n in range(jaccard_join.ALONE, jaccard_join.SMALL + 1):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for m in range(n, n + 8):
+            inter = -(-jaccard_join.LINK * (n + m) // (100 + jaccard_join.LINK))
+            if inter <= n and 100 * inter >= 85 * (n + m - inter):
+                b = np.concatenate([rng.permutation(a)[:inter], rng.integers(0, 1 << 63, m - inter).astype(np.uint64)])
+                assert np.intersect1d(jaccard_join.index_keys(np.unique(a)), jaccard_join.index_keys(np.unique(b))).size
+
+
+def test_packing_round_trip(docs, none):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack(docs, with_ids=True).collect()
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id, tuple([*t.encode(r.text or "", add_special_tokens=False).ids, 0])] += 1
+    assert sum(r.length for r in out) == sum(len(ids) * n for (_, ids), n in want.items())
+    by_doc = defaultdict(list)
+    for r in out:
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length <= 2048
+        by_doc[r.doc_id].append(r)
+    for (doc, ids), n in want.items():
+        parts = sorted(by_doc[doc], key=lambda r: r.piece)
+        assert Counter(p.piece for p in parts)[0] == sum(m for (d, _), m in want.items() if d == doc)
+        if n == 1:
+            assert [x for p in parts for x in p.ids] == list(ids) and all(p.length == 2048 for p in parts[1:])
+    for seq in {r.sequence_id for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r.sequence_id == seq), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert packing.pack(none).count() == 0
+    assert packing.token_ids("a<|endoftext|>b") == t.encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_plans_fill_gaps_exactly():
+    plans = packing.plan({10: 2, 6: 2, 4: 5, 3: 3, 2: 2, 1: 1}, 10)
+    used = Counter()
+    for parts, times in plans:
+        assert sum(parts) <= 10
+        for p in parts:
+            used[p] += times
+    assert used == Counter({10: 2, 6: 2, 4: 5, 3: 3, 2: 2, 1: 1}) and sum(t for _, t in plans) == 7
+
+
+def brute_removed(rows):
+    owner = {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            owner[key] = min(owner.get(key, i), i) if i is not None else owner.get(key, 1 << 60)
+    out = Counter()
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if i is not None and owner[tuple(w[k : k + 50])] < i:
+                gone[k : k + 50] = [True] * 50
+        out[i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()] += 1
+    return out
+
+
+def test_substring_dedup(docs, none):
+    out = substring_dedup.dedup_substrings(docs)
+    assert Counter(tuple(r) for r in out.drop("changed_text").collect()) == brute_removed([(r.doc_id, r.text) for r in docs.collect()])
+    assert substring_dedup.dedup_substrings(none).count() == 0
+
+
+def test_mixing_meets_entropy_and_budget(spark, docs, none):
+    tokens = {"a": 9000, "b": 900, "c": 100}
+    e, w = mixing.solve(tokens, 10000, 0.9 * np.log(3))
+    assert 0 < e < 1 and abs(mixing.entropy(w) - 0.9 * np.log(3)) < 1e-9
+    _, w = mixing.solve(tokens, 10000, 0.9 * np.log(3), 3.0)
+    assert max(w[s] * 10000 / tokens[s] for s in tokens) <= 3 + 1e-9
+    assert mixing.solve({}, 1.0) == (1.0, {}) and mixing.solve({"a": 5}, 5, 0.0)[1] == {"a": 1.0}
+    big = spark.createDataFrame([(i, "w " * (i % 40 + 1), "s" if i % 10 else "t") for i in range(4000)], "doc_id long, text string, source string")
+    mixed = mixing.mix(big, block_tokens=500)
+    got = {r.source: r for r in mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n"), F.first("source_weight").alias("w"), F.sum("n_tokens").alias("all")).collect()}
+    total = sum(r["all"] for r in got.values())
+    assert all(0 <= r.w * total - r.n <= 41 for r in got.values())
+    kept = mixing.repeated(docs, keep_all=True, max_repeats=2.0)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()}
+    assert mixing.mix(docs).columns[: len(docs.columns)] == docs.columns and mixing.mix(none).count() == 0
+
+
+def test_topk_is_exact(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=20)]) for i in range(300)] + [(i, [0.5] * 20) for i in range(300, 340)]
+    rows += [(400, None), (401, [None] * 20), (402, [float("nan")] * 20), (403, [1.0]), (404, []), (500, [3e18] * 20), (501, [2e18] * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), block=3).collect()}
+    ints = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows if v and None not in v and np.isfinite(v).all()}
+    for q in (i for i in ints if i % 50 == 0):
+        hold = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+        best = sorted((-hold(sum(x * y for x, y in zip(ints[q], v))), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:5]
+        assert [got[q, k + 1] for k in range(len(best))] == [(i, -s) for s, i in best]
+    assert topk.search(df.limit(0), df).count() == 0 and topk.search(df, df.limit(0)).count() == 0
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_quality_model_on_held_out(spark, docs, none):
+    out = quality_model.op7_quality_gam(spark, DATA).join(common.load(spark, DATA, "labels"), "doc_id").where("held_out").toPandas()
+    assert ((out.predicted == out.quality).mean()) > 0.95
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality_model.score(docs, quality_model.train(docs, labels)).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert quality_model.score(none, quality_model.train(none, labels)).count() == 0
+
+
+def test_language_id_on_held_out(spark, docs, none):
+    out = langid.op8_language_id(spark, DATA).join(common.load(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (out.lang_pred == out.lang).mean() > 0.95
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and all(r.lang_pred in ("und", "en", "de") and 0 <= r.score <= 1 for r in got.values())
+    assert langid.train(none) is None and {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
+
+
+def test_quality_rules(spark, docs, none):
+    rng = random.Random(2)
+    clean = [(i, words(rng, 120), "en", "a") for i in range(300)]
+    junk = [(1000 + i, " ".join(w + "***" for w in words(rng, 120).split()), "en", "a") for i in range(20)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept for i in range(20)) and got[1000].n_symbols == 360
+    small = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert small[0].n_words == 0 and small[0].base_failed and not small[0].kept
+    t = spark.createDataFrame([(1, "a b c a b c d\nx#\n\nx#\ny", None, None)], "doc_id long, text string, lang string, source string")
+    r = quality_rules.judge(t).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (10, 12, 2, 1, 6)
+    assert quality_rules.judge(none).count() == 0 and quality_rules.keep(docs).columns == docs.columns
+    assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
+
+
+def test_fixity_audit_locates_damage(spark):
+    pages = spark.createDataFrame([(i % 700, f"http://h/{i}", "x" * (i % 97)) for i in range(900)] + [(None, None, None), (3, "http://h/3", "x" * 3)], "page_id long, url string, html string").withColumn("offset", F.lit(1))
+    held = warc_audit.records(pages, 100)
+    assert held.count() == 901 and held.agg(F.sum("copies")).first()[0] == 902
+    damaged = warc_audit.damaged(held)
+    got = Counter((r.page_id, r.status) for r in warc_audit.audit(held, damaged).collect())
+    want = Counter((r.page_id, "missing" if r.page_id is not None and r.page_id % 103 == 5 else "corrupt" if r.page_id is not None and r.page_id % 101 == 7 else "ok") for r in held.collect())
+    assert got == want
+    assert {r.status for r in warc_audit.audit(held, held).collect()} == {"ok"} and {r.status for r in warc_audit.audit(held.limit(0), held).collect()} == {"extra"}
+    assert warc_audit.audit(held.limit(0), held.limit(0)).count() == 0
+    whole = warc_audit.record_bytes(pages, 100)
+    assert all(hashlib.sha256(r.record).hexdigest() == r.digest and len(r.record) == r.length for r in whole.collect())

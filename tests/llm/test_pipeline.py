@@ -1,0 +1,16 @@
+import corpus_pipeline
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_the_columns_and_run_ends_in_sequences(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, ids = docs.columns, {r[0] for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA).cache()
+        assert docs.columns == columns, name
+        now = {r[0] for r in docs.select("doc_id").collect()}
+        assert now <= ids and (now == ids or name in ("quality_rules", "near_duplicates"))
+        ids = now
+    out = corpus_pipeline.run(spark, DATA)
+    assert {r[0] for r in out.select("doc_id").collect()} == ids
