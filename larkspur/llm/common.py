@@ -30,9 +30,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files, so that no lost executor loses it."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and go on from the files, so that no lost executor loses it.
+
+    A checkpointed frame carries its plan's size estimate along, and each join multiplies the estimates of its sides:
+    in a loop that number gets so long that it fills the driver. So the files are wrapped anew, without an estimate.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    saved = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
 
 
 def fresh(df: DataFrame, *wanted: str) -> str:
