@@ -19,8 +19,9 @@ from larkspur.llm.common import components, cut, fresh, load, prepare, sieve, st
 SHINGLE, BANDS, ROWS = 16, 5, 2
 #: Rounds in which a bucket's nodes meet one of them only, before what is left meets pair by pair.
 STAR_ROUNDS = 2
-#: Shingle hashes under different masks order differently; each order's least one is a MinHash.
-MASKS = [Random(9 + i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS)]
+#: Shingle hashes under different masks order differently; each order's least one is a MinHash, and so is its greatest.
+MASKS = [0, *(Random(9 + i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS // 2 - 1))]
+BLANK = " \t\r\x0b\f"
 #: Links at a Jaccard similarity of 4/5 or more. At that similarity a pair shares a band with probability 0.994.
 NUMERATOR, DENOMINATOR = 4, 5
 
@@ -28,19 +29,20 @@ NUMERATOR, DENOMINATOR = 4, 5
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), line (number), h (node), norm of every line that has a word."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
-    norm = F.lower(F.trim(F.translate("raw", "\t\r\x0b\f", "    ")))
+    norm = F.lower(F.btrim("raw", F.lit(BLANK)))
     return each.select("doc_id", "t", "line", norm.alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
 
 def shingles() -> F.Column:
-    found = F.regexp_extract_all("norm", F.lit(rf"(?=([^ ].{{0,{SHINGLE - 1}}}))[^ ]++ *+"), F.lit(1))
+    found = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S++\s*+"), F.lit(1))
     return F.transform(found, lambda x: F.xxhash64(x))
 
 
 def band_keys() -> F.Column:
-    masked = lambda mask: lambda x: x.bitwiseXOR(F.lit(mask))
-    least = [F.array_min(F.transform("s", masked(mask))) for mask in MASKS]
-    return F.array(*(F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
+    masked = lambda mask: F.transform("s", lambda x: x.bitwiseXOR(F.lit(mask))) if mask else F.col("s")
+    orders = [masked(mask) for mask in MASKS]
+    ends = [F.array_min(x) for x in orders] + [F.array_max(x) for x in orders[1:] + orders[:1]]  # a band has no order twice
+    return F.array(*(F.xxhash64(F.lit(b), *ends[b::BANDS]) for b in range(BANDS)))
 
 
 def alike(a: str, b: str) -> F.Column:
