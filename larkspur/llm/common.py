@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of text that cross into Python at once; whole texts can be long, so batches are short.
 TEXT_BATCH = "512"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,10 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
 
     A checkpointed frame carries its plan's size estimate along, and each join multiplies the estimates of its sides:
     in a loop that number gets so long that it fills the driver. So the files are wrapped anew, without an estimate.
+    Shuffle files that led to the checkpoint are of no more use once it is written; they go then and not at the
+    driver's next garbage collection. The setting is read when a frame is made and holds for this one alone.
     """
     spark = df.sparkSession
     prepare(spark)
-    saved = df.checkpoint(eager=True)._jdf
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        last = df.select("*")
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    saved = last.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
 
 
