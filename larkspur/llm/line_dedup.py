@@ -30,7 +30,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), line (number), h (node), norm of every line that has a word."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
     norm = F.lower(F.btrim("raw", F.lit(BLANK)))
-    return each.select("doc_id", "t", "line", norm.alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
+    return each.where(F.col("raw").rlike(rf"[^{BLANK}]")).select("doc_id", "t", "line", norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
 
 
 def shingles() -> F.Column:
@@ -58,7 +58,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     found = lines_of(docs).withColumn("s", shingles())
     seen = cut(found.select("doc_id", "t", "line", "h", band_keys().alias("keys")))
     keyed = seen.select(F.explode("keys").alias("k"), F.col("h").alias("node"))
-    members = cut(stars(keyed)[1].select("k", "node").distinct())
+    several = cut(stars(keyed)[0].select("k"))
+    members = cut(sieve(keyed, "k", several).join(several, "k").distinct())
     text = cut(sieve(lines_of(docs).select("h", "norm"), "h", members.select("node")).distinct().select("h", F.array_distinct(shingles()).alias("s")))
     side = lambda name, array: text.select(F.col("h").alias(name), F.col("s").alias(array))
     rest, links, parts = members.withColumn("c", F.col("node")), None, None
@@ -78,10 +79,12 @@ def duplicates(docs: DataFrame) -> DataFrame:
         more = cut(more.distinct())
         if not more.isEmpty():
             parts = components(links.unionByName(more))
-    whole = seen.select("doc_id", "t", "line", "h").join(parts.select(F.col("node").alias("h"), "component"), "h", "left")
-    whole = whole.select("doc_id", "t", "line", F.coalesce("component", "h").alias("c"))
-    first = whole.groupBy("c").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = whole.join(first, "c").where(F.struct("doc_id", "t", "line") != F.col("first"))
+    place = F.struct("doc_id", "t", "line")
+    nodes = seen.groupBy("h").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(parts.withColumnRenamed("node", "h"), "h", "left")
+    nodes = cut(nodes.where("n > 1 OR component IS NOT NULL").select("h", "at", F.coalesce("component", "h").alias("c")))
+    first = nodes.groupBy("c").agg(F.min("at").alias("first"))
+    first = cut(nodes.join(first, "c").select("h", "first"))
+    again = sieve(seen.select("doc_id", "t", "line", "h"), "h", first.select("h")).join(first, "h").where(place != F.col("first"))
     return again.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
 
