@@ -28,7 +28,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), line (number), h (node), norm of every line that has a word."""
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))  # t once a row, not once a line
+    each = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     norm = F.lower(F.btrim("raw", F.lit(BLANK)))
     return each.where(F.col("raw").rlike(rf"[^{BLANK}]")).select("doc_id", "t", "line", norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
 
