@@ -1,7 +1,7 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
 Lines that are equal after trimming and lower-casing are one node, named by a 64-bit hash. A node's
-shingles are the runs of `SHINGLE` characters that start at a word; MinHash signatures of them are banded. In each
+shingles are the runs of `SHINGLE` characters at every position; MinHash signatures of them are banded. In each
 band a bucket's lines are held against one of them, then against another; what a bucket still holds in different
 components is compared pair by pair inside a join condition, so no pair of lines that share a band is left out and
 only links leave the join. Verified links go through a distributed union-find, and the first line of each component stays.
@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import components, cut, fresh, load, prepare, sieve, stars
 
-SHINGLE, BANDS, ROWS = 16, 5, 2
+SHINGLE, BANDS, ROWS = 9, 8, 3
+#: Characters that are cut into shingles at once: finding a position walks the text from its start.
+PIECE = 32
 #: Rounds in which a bucket's nodes meet one of them only, before what is left meets pair by pair.
 STAR_ROUNDS = 2
+#: Sets of at most FEW shingles have keys by masks, those of MANY or more by pivots; sets at or over the threshold share a kind.
+FEW, MANY = 60, 48
 #: Shingle hashes under different masks order differently; each order's least one is a MinHash, and so is its greatest.
 MASKS = [0, *(Random(9 + i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS // 2 - 1))]
+#: Evenly spaced; the next shingle hash at or after a pivot, going round at the end, is a MinHash. One sort finds them all.
+PIVOTS = [(j << 64) // (BANDS * ROWS) - (1 << 63) for j in range(BANDS * ROWS)]
 BLANK = " \t\r\x0b\f"
-#: Links at a Jaccard similarity of 4/5 or more. At that similarity a pair shares a band with probability 0.994.
+#: Links at a Jaccard similarity of 4/5 or more. At that similarity a pair shares a band with probability 0.997.
 NUMERATOR, DENOMINATOR = 4, 5
 
 
@@ -34,47 +40,65 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.where(F.col("raw").rlike(rf"[^{BLANK}]")).select("doc_id", "t", "line", norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
 
 
-def shingles() -> F.Column:
-    found = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S++\s*+"), F.lit(1))
-    return F.transform(found, lambda x: F.xxhash64(x))
+def shingles(norm: str = "norm") -> F.Column:
+    """Hashes of the distinct runs of SHINGLE characters; a shorter line is one run."""
+    starts = lambda text, step: F.sequence(F.lit(1), F.greatest(F.length(text) - (SHINGLE - 1), F.lit(1)), F.lit(step))
+    pieces = F.transform(starts(F.col(norm), PIECE), lambda at: F.substring(F.col(norm), at, F.lit(PIECE + SHINGLE - 1)))
+    runs = lambda piece: F.transform(starts(piece, 1), lambda at: F.xxhash64(F.substring(piece, at, F.lit(SHINGLE))))
+    return F.array_distinct(F.flatten(F.transform(pieces, runs)))
 
 
-def band_keys() -> F.Column:
+def bands(values: list[F.Column]) -> F.Column:
+    return F.array(*(F.xxhash64(F.lit(b), *values[b::BANDS]) for b in range(BANDS)))
+
+
+def band_keys(found: DataFrame) -> DataFrame:
+    """found with keys for its shingles s."""
     masked = lambda mask: F.transform("s", lambda x: x.bitwiseXOR(F.lit(mask))) if mask else F.col("s")
     orders = [masked(mask) for mask in MASKS]
     ends = [F.array_min(x) for x in orders] + [F.array_max(x) for x in orders[1:] + orders[:1]]  # a band has no order twice
-    return F.array(*(F.xxhash64(F.lit(b), *ends[b::BANDS]) for b in range(BANDS)))
+    found = found.withColumn("sorted", F.sort_array("s")).withColumn("marked", F.sort_array(F.concat("s", F.array(*map(F.lit, PIVOTS)))))
+    n = F.size("s")
+    after = [F.element_at("sorted", (F.array_position("marked", F.lit(p)).cast("int") - 1 - j) % n + 1) for j, p in enumerate(PIVOTS)]
+    none = F.array().cast("array<long>")
+    keys = F.concat(F.when(n <= FEW, bands(ends)).otherwise(none), F.when(n >= MANY, bands(after)).otherwise(none))
+    return found.withColumn("keys", keys).drop("sorted", "marked")
 
 
-def alike(a: str, b: str) -> F.Column:
+def alike(a: str | F.Column, b: str | F.Column) -> F.Column:
     """Exactly |a & b| / |a | b| >= 4/5 over arrays of distinct shingles."""
     na, nb = F.size(a), F.size(b)
     sizes = (na * DENOMINATOR >= nb * NUMERATOR) & (nb * DENOMINATOR >= na * NUMERATOR)
     return sizes & (F.size(F.array_intersect(a, b)) * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR)
 
 
+def linked(a: str, b: str) -> F.Column:
+    """alike() over the shingles of two lines, each cut once."""
+    return F.exists(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), lambda both: alike(both["a"], both["b"]))
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, t, drop: numbers of the lines of a document that a line before them (by doc_id, then number) makes redundant."""
     prepare(docs.sparkSession)
-    found = lines_of(docs).withColumn("s", shingles())
-    seen = cut(found.select("doc_id", "t", "line", "h", band_keys().alias("keys")))
+    found = band_keys(lines_of(docs).withColumn("s", shingles()))
+    seen = cut(found.select("doc_id", "t", "line", "h", "keys"))
     keyed = seen.select(F.explode("keys").alias("k"), F.col("h").alias("node"))
     several = cut(stars(keyed)[0].select("k"))
     members = cut(sieve(keyed, "k", several).join(several, "k").distinct())
-    text = cut(sieve(lines_of(docs).select("h", "norm"), "h", members.select("node")).distinct().select("h", F.array_distinct(shingles()).alias("s")))
-    side = lambda name, array: text.select(F.col("h").alias(name), F.col("s").alias(array))
+    text = cut(sieve(lines_of(docs).select("h", "norm"), "h", members.select("node")).distinct())
+    side = lambda name, norm: text.select(F.col("h").alias(name), F.col("norm").alias(norm))
     rest, links, parts = members.withColumn("c", F.col("node")), None, None
     for r in range(STAR_ROUNDS):
         heads = rest.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", "k", F.lit(r))).alias("head"))
         edges = rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = edges.join(side("a", "sa"), "a").join(side("b", "sb"), "b").where(alike("sa", "sb")).select("a", "b")
+        found = edges.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(linked("na", "nb")).select("a", "b")
         links = cut(found if links is None else links.unionByName(found))
         parts = components(links)
         named = members.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("c"))
         still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
         rest = cut(named.join(still, "k"))
     if not rest.isEmpty():
-        one = rest.join(side("node", "s"), "node")
+        one = rest.join(side("node", "norm"), "node").withColumn("s", shingles())
         left, right = (one.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "c", "s"))) for x in "ab")
         more = left.join(right, "k").where((F.col("c_a") < F.col("c_b")) & alike("s_a", "s_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         more = cut(more.distinct())

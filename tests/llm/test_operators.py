@@ -64,6 +64,30 @@ def test_line_dedup(docs, none):
     assert "python" not in out._jdf.queryExecution().toString().lower()
 
 
+def test_line_dedup_compares_whole_lines(spark):
+    rng = random.Random(8)
+    line = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    runs = lambda t: {t[k : k + line_dedup.SHINGLE] for k in range(max(1, len(t) - line_dedup.SHINGLE + 1))}
+    letters, han = "abcdefgh     ", "".join(map(chr, range(0x4E00, 0x4E40))) + "\U00020000"
+    lines = ["https://www.example.com/a", "https://www.example.com/b", "一二三四五六七八九十一二三四五六七天", "一二三四五六七八九十一二三四五六七地人", "a" * 12, "a" * 30, "ab", "ac"]
+    for n, kind in ((25, letters), (52, letters), (58, letters), (61, letters), (70, letters), (114, letters), (300, letters), (90, han), (5000, letters)):
+        for _ in range(6):
+            base = line(n, kind).strip()
+            at = rng.randrange(len(base))
+            lines += [base, base[:at] + "Z" + base[at + 1 :], base[: len(base) // 2] + line(len(base) // 4, kind) + base[len(base) // 2 :], base[:16] + line(n, kind)]
+    norm = [x.strip().lower() for x in lines]
+    root = list(range(len(lines)))
+    for i, a in enumerate(norm):
+        for j in range(i):
+            x, y = runs(norm[j]), runs(a)
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    want = {i: lines[i] if root[i] == i else "" for i in range(len(lines))}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
+    assert 20 < sum(x == "" for x in want.values()) < 80
+
+
 def brute_components(rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
