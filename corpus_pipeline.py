@@ -19,8 +19,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return jaccard_join.one_of_each(docs)
+    """One document of each group of near copies (5 words, Jaccard 0.8 or more) stays, the one with the smallest doc_id."""
+    return jaccard_join.one_of_each(docs, gram=5, link=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

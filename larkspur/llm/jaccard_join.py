@@ -14,8 +14,10 @@ lists of its shingles. Blocks give spanning links, not pairs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property, partial
 from itertools import combinations
-from math import comb, log
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +30,42 @@ GRAM, LINK = 4, 85
 SUBSET, BANDS, TUPLE = 3, 64, 6
 #: Most sets, and most shingles, of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 400_000
-_ODD = mix(np.arange(1, BANDS * TUPLE + 1, dtype=np.uint64)) | np.uint64(1)
-_BAND = mix(np.arange(10_001, 10_001 + BANDS, dtype=np.uint64))
+def odd(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-LINK * n // 100) + SUBSET
+@dataclass(frozen=True)
+class Rule:
+    """Sets of `gram` words link at a Jaccard similarity of `link` hundredths or more; sizes and bands follow from that."""
 
+    gram: int = GRAM
+    link: int = LINK
 
-def boundary() -> int:
-    """Largest set size whose subsets cost no more index rows than the lists."""
-    n = 1
-    while comb(prefix_length(n + 1), SUBSET) <= BANDS:
-        n += 1
-    return n
+    def prefix_length(self, n: int) -> int:
+        return n - -(-self.link * n // 100) + SUBSET
 
+    @cached_property
+    def small(self) -> int:
+        """Largest set size whose subsets cost no more index rows than the lists."""
+        n = 1
+        while comb(self.prefix_length(n + 1), SUBSET) <= self.bands:
+            n += 1
+        return n
 
-SMALL = boundary()
-#: Below this size only equal sets reach the threshold.
-ALONE = next(n for n in range(1, 1000) if 100 * n >= LINK * (n + 1))
+    @cached_property
+    def alone(self) -> int:
+        """Below this size only equal sets reach the threshold."""
+        return next(n for n in range(1, 1000) if 100 * n >= self.link * (n + 1))
+
+    @cached_property
+    def bands(self) -> int:
+        """Lists a set: as many as keep a pair at the threshold from being missed as rarely as BANDS do at LINK."""
+        missed = BANDS * log1p(-((LINK / 100) ** TUPLE))
+        return max(1, ceil(missed / log1p(-((self.link / 100) ** TUPLE)) - 1e-9))
+
+
+OWN = Rule()
+SMALL, ALONE = OWN.small, OWN.alone
 
 
 def shingle_set(text: bytes, cache: WordCodes, gram: int = GRAM) -> np.ndarray:
@@ -57,21 +76,23 @@ def shingle_set(text: bytes, cache: WordCodes, gram: int = GRAM) -> np.ndarray:
     return np.unique(window_hashes(codes, gram))
 
 
-def index_keys(s: np.ndarray) -> np.ndarray:
+def index_keys(s: np.ndarray, rule: Rule = OWN) -> np.ndarray:
     """Keys of a set; sets at or over the threshold share one."""
     n, out = len(s), []
-    if ALONE <= n <= SMALL:
-        take = np.array(list(combinations(range(min(n, prefix_length(n))), SUBSET)))
+    if rule.alone <= n <= rule.small:
+        take = np.array(list(combinations(range(min(n, rule.prefix_length(n))), SUBSET)))
         out.append(mix(mix(mix(s[take[:, 0]]) + s[take[:, 1]]) + s[take[:, 2]]))
-    if n * 100 >= LINK * SMALL:
-        least = np.full(BANDS * TUPLE, ~np.uint64(0))
+    if n * 100 >= rule.link * rule.small:
+        factors = odd(rule.bands * TUPLE)
+        least = np.full(rule.bands * TUPLE, ~np.uint64(0))
         for at in range(0, n, 2048):
-            least = np.minimum(least, (_ODD[:, None] * s[None, at : at + 2048]).min(1))
-        out.append(mix((mix(least.reshape(BANDS, TUPLE)) * _ODD[None, :TUPLE]).sum(1, dtype=np.uint64) + _BAND))
+            least = np.minimum(least, (factors[:, None] * s[None, at : at + 2048]).min(1))
+        band = mix(np.arange(10_001, 10_001 + rule.bands, dtype=np.uint64))
+        out.append(mix((mix(least.reshape(rule.bands, TUPLE)) * factors[None, :TUPLE]).sum(1, dtype=np.uint64) + band))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     """doc_id, n, d1, d2 (digest of the set) and keys of every row."""
 
     def run(batches):
@@ -79,18 +100,18 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, d1, d2, keys = [], [], [], []
             for text in texts_of(batch.column(1)):
-                s = shingle_set(text, cache)
+                s = shingle_set(text, cache, rule.gram)
                 n.append(len(s))
                 d1.append(int(signed(mix(s).sum(dtype=np.uint64, keepdims=True))[0]))
                 d2.append(int(signed(mix(s * np.uint64(3) + np.uint64(7)).sum(dtype=np.uint64, keepdims=True))[0]))
-                keys.append(signed(index_keys(s)))
+                keys.append(signed(index_keys(s, rule)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "keys"])
 
     prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def spanning(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def spanning(ids: list[int], sets: list[np.ndarray], link: int = LINK) -> list[tuple[int, int]]:
     """Links that span the components of the sets: each set counts its overlaps with all before it by scanning lists."""
     n = len(sets)
     root = list(range(n))
@@ -117,7 +138,7 @@ def spanning(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         length = df[mine]
         spots = np.arange(length.sum()) + np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
         both = np.bincount(lists[spots], minlength=n)[:i]
-        for j in np.flatnonzero(100 * both >= LINK * (size[i] + size[:i] - both)):
+        for j in np.flatnonzero(100 * both >= link * (size[i] + size[:i] - both)):
             a, b = find(i), find(int(j))
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -125,13 +146,13 @@ def spanning(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def scan(batches):
+def scan(batches, rule: Rule = OWN):
     """Rows sorted by task: (task, doc_id, text) -> spanning links of each task."""
     cache, task, ids, sets = WordCodes(), None, [], []
 
     def links():
         if len(ids) > 1:
-            found = spanning(ids, sets)
+            found = spanning(ids, sets, rule.link)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -141,13 +162,13 @@ def scan(batches):
                 yield from links()
                 task, ids, sets = t, [], []
             ids.append(i)
-            sets.append(shingle_set(text, cache))
+            sets.append(shingle_set(text, cache, rule.gram))
     yield from links()
 
 
-def tasks(members: DataFrame) -> DataFrame:
+def tasks(members: DataFrame, rule: Rule = OWN) -> DataFrame:
     """members (node, n, family) -> (task, node): every two members whose sizes can link meet in a task of bounded size."""
-    step = log(100 / LINK)
+    step = log(100 / rule.link)
     members = members.withColumn("g", F.floor(F.log(F.col("n").cast("double")) / step))
     room = F.greatest(F.lit(2), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most")).cast("int")))
     sizes = cut(members.groupBy("family", "g").agg(F.count("*").alias("count"), F.max("n").alias("most")).withColumn("blocks", F.ceil(F.col("count") / room).cast("int")).drop("most"))
@@ -163,15 +184,18 @@ def tasks(members: DataFrame) -> DataFrame:
     return put.select("node", F.explode(every).alias("task"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, gram: int = GRAM, link: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; other columns are ignored).
 
+    Texts link whose sets of `gram` words have a Jaccard similarity of `link` hundredths or more.
+
     component_id is the smallest doc_id that links reach, the row's own included. Null and empty texts, and texts
     without words, have no shingles and link with nothing. Rows that share a doc_id are one node of the graph. A null
     doc_id takes part under no name: its row has a null component_id. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    sets = cut(signatures(docs))
+    rule = Rule(gram, link)
+    sets = cut(signatures(docs, rule))
     classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node")))
     firsts = sets.where("n > 0").select("doc_id", "d1", "d2", "n", "keys").join(classes, ["d1", "d2", "n"]).where("doc_id = node")
     keyed = firsts.select(F.explode("keys").alias("k"), "node")
@@ -180,17 +204,17 @@ def join(docs: DataFrame) -> DataFrame:
     members = cut(classes.groupBy("node").agg(F.min("n").alias("n")).join(family, "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = sieve(texts, "doc_id", members.select("node"))
-    meet = tasks(members).join(texts, F.col("node") == F.col("doc_id")).select("task", "doc_id", "text")
-    links = meet.repartition("task").sortWithinPartitions("task").mapInArrow(scan, "a long, b long")
+    meet = tasks(members, rule).join(texts, F.col("node") == F.col("doc_id")).select("task", "doc_id", "text")
+    links = meet.repartition("task").sortWithinPartitions("task").mapInArrow(partial(scan, rule=rule), "a long, b long")
     parts = components(links.where("a <> b"))
     named = classes.join(parts, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("c"))
     out = sets.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, gram: int = GRAM, link: int = LINK) -> DataFrame:
     """Rows of docs that are the first of their component, with the columns of docs; texts without shingles all stay."""
-    found = cut(join(docs))
+    found = cut(join(docs, gram, link))
     dead = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_dead")).distinct()
     key = F.col("doc_id").cast("long")
     return docs.join(dead, key == F.col("_dead"), "left_anti")
