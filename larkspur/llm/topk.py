@@ -89,16 +89,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUER
     """query_id, rank, vec_id, score: for each query its k best rows of vectors, itself left out, ties to the smaller id.
 
     Both tables need vec_id and embedding. Queries go in blocks of `block` rows, each held against all vectors; a
-    block is what is broadcast, so its size is fixed. Vectors that are null, or hold null or non-finite components,
-    take no part, nor do rows without an id; vectors meet only vectors of their own dimension. Rows that repeat an id
-    are candidates once for each distinct score. Empty tables give no rows.
+    block is what is broadcast, so its size is bounded. Vectors that are null, or hold null or non-finite components,
+    take no part, nor do rows without an id; vectors meet only vectors of their own dimension. As in the SQL of op6, rows
+    that repeat an id are a candidate each, and each row of a query id asks, so the id's k best are over all of
+    them and may hold equal entries. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = cut(pick(queries).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.first("embedding").alias("embedding")))
+    asked = cut(pick(queries).where("vec_id IS NOT NULL").withColumn("copy", F.monotonically_increasing_id()))
     blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("copy"), F.lit(blocks)))  # copies of an id go to blocks of their own
     found = None
     for b in range(blocks):
         rows = asked.where(F.col("block") == b).select("vec_id", "embedding").collect()  # a block
@@ -122,7 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUER
         part = pick(vectors).mapInArrow(run, "query_id long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def wide(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, rows: np.ndarray, k: int):

@@ -228,6 +228,23 @@ def test_topk_is_exact(spark):
     assert topk.search(df.limit(0), df).count() == 0 and topk.search(df, df.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_rows_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
+    rows += [rows[7]] * 9 + [rows[50]] * 3 + [(50, None), (50, rows[3][1]), (100, None), (9, rows[8][1])]
+    large = [(i, [float(x) for x in 2.0 ** rng.integers(17, 20, 8)]) for i in (200, 201, 202, 250)]  # beyond 2^52 by the bound, exact in doubles
+    for k, part in enumerate((rows, rows + large + large[:2] + large[3:])):
+        df = spark.createDataFrame(part, "vec_id long, embedding array<float>").repartition(3)
+        df.write.parquet(f"{tmp_path}/{k}.parquet")
+        df = spark.read.parquet(f"{tmp_path}/{k}.parquet")
+        with duckdb.connect() as con:
+            con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/{k}.parquet/*.parquet'")
+            want = Counter(con.execute(topk.SQL["op6_exact_topk"]).fetchall())
+        assert Counter(tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0"), block=3).collect()) == want
+
+
 DATA = "/root/testdata/sf0.01"
 
 
