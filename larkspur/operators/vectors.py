@@ -34,12 +34,16 @@ def search(df: DataFrame, query: list[float], k: int = DEFAULT_K, metric: str =
 
 
 def search_many(df: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id", most: int = 10_000) -> DataFrame:
-    """query_id, key, score of each query's best k. queries (query_id, query) must be at most `most` rows: counted, then broadcast."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries at once")
-    scored = df.join(F.broadcast(queries), F.lit(True)).select("query_id", key, score(F.col(vector), F.col("query"), metric).alias("score")).where("score IS NOT NULL")
+    """query_id, key, score of each query's best k. queries (query_id, query) are counted and go in blocks of about `most` rows, each broadcast."""
+    blocks = max(1, -(-queries.count() // most))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    found = None
+    for b in range(blocks):
+        asked = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = df.join(F.broadcast(asked), F.lit(True)).select("query_id", key, score(F.col(vector), F.col("query"), metric).alias("score")).where("score IS NOT NULL")
+        best = scored.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def upsert(df: DataFrame, new: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

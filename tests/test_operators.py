@@ -137,3 +137,13 @@ def test_backup_round_trip_and_stream_equals_batch(spark, tmp_path):
     names = catalog.Catalog()
     names.create("t", df)
     assert names.collections() == [("default", "public", "t")] and names.databases() == {"default": 1}
+
+
+def test_search_many_goes_through_queries_in_blocks(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {(r.query_id, r.vec_id) for r in vectors.search_many(df, asked, 3, "dot", most=5).collect()}
+    best = lambda q: sorted((-sum(x * y for x, y in zip(q, v)), i) for i, v in rows)[:3]
+    assert got == {(i, j) for i, q in rows if i % 100 == 0 for _, j in best(q)}
