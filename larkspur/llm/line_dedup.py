@@ -121,10 +121,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     that repeat a doc_id and text keep the same lines. All other columns pass through under their names.
     """
     gone = cut(duplicates(docs))
-    key, text_key, drop, removed = fresh(docs, "_doc"), fresh(docs, "_t"), fresh(docs, "_drop"), fresh(docs, "n_removed")
-    gone = gone.select(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("t").alias(text_key), F.col("drop").alias(drop))
-    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(text_key, F.xxhash64("text"))
-    rows = rows.join(gone, [key, text_key], "left")
+    key, absent, text_key, drop, removed = fresh(docs, "_doc"), fresh(docs, "_absent"), fresh(docs, "_t"), fresh(docs, "_drop"), fresh(docs, "n_removed")
+    gone = gone.select(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("doc_id").isNull().alias(absent), F.col("t").alias(text_key), F.col("drop").alias(drop))
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(absent, F.col("doc_id").cast("long").isNull()).withColumn(text_key, F.xxhash64("text"))
+    rows = rows.join(gone, [key, absent, text_key], "left")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n"))
     out = rows.withColumn("text", text).withColumn(removed, F.coalesce(F.size(drop), F.lit(0)).cast("long"))

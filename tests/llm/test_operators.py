@@ -88,6 +88,12 @@ def test_line_dedup_compares_whole_lines(spark):
     assert 20 < sum(x == "" for x in want.values()) < 80
 
 
+def test_line_dedup_tells_no_doc_id_from_zero(spark):
+    text = "a line that stands twice\na line of its own\na line that stands twice"
+    out = line_dedup.dedup_lines(spark.createDataFrame([(0, text), (None, text)], "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == [(0, ""), (None, "a line that stands twice\na line of its own")]
+
+
 def brute_components(rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
