@@ -14,7 +14,10 @@ def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, exactly or nearly, go; documents stay."""
+    """Lines that repeat an earlier one, exactly or nearly, go; documents stay, with an empty text if all their lines went.
+
+    Emptied documents link with nothing later, mixing may repeat them, and packing gives each one piece of one token.
+    """
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
