@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -21,13 +19,28 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Short Arrow batches, and a checkpoint folder where the session names none (tests only)."""
+    """Short Arrow batches. Checkpoints need a folder that all executors share, named by the session or its context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        folder = tempfile.mkdtemp(prefix="larkspur-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() is not None:
+        return
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"  # one machine: any folder is shared
+    context.setCheckpointDir(folder)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold for the block alone."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,12 +53,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     prepare(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, {CLEANUP: "true"}):
         last = df.select("*")
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     saved = last.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
 

@@ -1,34 +1,37 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
-Lines that are equal after trimming and lower-casing are one node, named by a 64-bit hash. A node's
-shingles are the runs of `SHINGLE` characters at every position; MinHash signatures of them are banded. In each
-band a bucket's lines are held against one of them, then against another; what a bucket still holds in different
-components is compared pair by pair inside a join condition, so no pair of lines that share a band is left out and
-only links leave the join. Verified links go through a distributed union-find, and the first line of each component stays.
+Lines that are equal after trimming and lower-casing are one node. A node's shingles are the runs of `SHINGLE`
+characters at every position. MinHash signatures are banded; of lines that have enough of them, the signature sees only
+the shingles that begin with one of the letters of `MARKS` (a choice by content, alike in all lines), of all others
+every shingle. Verification always compares the full sets. In each band a bucket's lines are held against one of them;
+what a bucket still holds in different components is compared pair by pair inside a join condition, large buckets in
+pairs of blocks, so no pair of lines that share a band is left out and only links leave the join. Verified links go
+through a distributed union-find, and the first line of each component stays.
 """
 
 from __future__ import annotations
 
-from random import Random
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, cut, fresh, load, prepare, sieve, stars
+from larkspur.llm.common import components, cut, fresh, load, prepare, settings, sieve, stars
 
 SHINGLE, BANDS, ROWS = 9, 8, 3
-#: Characters that are cut into shingles at once: finding a position walks the text from its start.
-PIECE = 32
-#: Rounds in which a bucket's nodes meet one of them only, before what is left meets pair by pair.
-STAR_ROUNDS = 2
-#: Sets of at most FEW shingles have keys by masks, those of MANY or more by pivots; sets at or over the threshold share a kind.
-FEW, MANY = 60, 48
-#: Shingle hashes under different masks order differently; each order's least one is a MinHash, and so is its greatest.
-MASKS = [0, *(Random(9 + i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS // 2 - 1))]
-#: Evenly spaced; the next shingle hash at or after a pivot, going round at the end, is a MinHash. One sort finds them all.
-PIVOTS = [(j << 64) // (BANDS * ROWS) - (1 << 63) for j in range(BANDS * ROWS)]
+#: First characters of the shingles that the signature of a long line sees; about a quarter of Latin text.
+MARKS = "aei"
+#: Lines of at least SEEN marked shingles have keys by these, those under UNSEEN by all; similar lines share a kind.
+SEEN, UNSEEN = 24, 36
+#: Buckets of more nodes meet another of their nodes, up to STAR_ROUNDS times in all, before what is left meets pair by pair.
+LARGE, STAR_ROUNDS = 16, 3
+#: Nodes of a block, where a bucket is compared pair by pair.
+BLOCK = 128
+#: Evenly spaced, one a band. The ROWS shingle hashes at and after a pivot, going round at the end, are its MinHashes.
+PIVOTS = [(j << 64) // BANDS - (1 << 63) for j in range(BANDS)]
+#: The signature's expressions together are more than the JVM compiles as one method; over this size they are split.
+SPLIT = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 BLANK = " \t\r\x0b\f"
-#: Links at a Jaccard similarity of 4/5 or more. At that similarity a pair shares a band with probability 0.997.
+#: Links at a Jaccard similarity of 4/5 or more. At that similarity a pair shares a band with probability 0.996 or more
+#: from five shingles on, by simulation.
 NUMERATOR, DENOMINATOR = 4, 5
 
 
@@ -40,29 +43,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.where(F.col("raw").rlike(rf"[^{BLANK}]")).select("doc_id", "t", "line", norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
 
 
+def runs(norm: str, first: str = ".") -> F.Column:
+    """Hashes of the runs of SHINGLE characters that begin with `first` (a pattern), at every position; they may repeat."""
+    found = F.regexp_extract_all(F.col(norm), F.lit(rf"(?s)(?=({first}.{{{SHINGLE - 1}}}))."), F.lit(1))
+    return F.transform(found, lambda x: F.xxhash64(x))
+
+
 def shingles(norm: str = "norm") -> F.Column:
     """Hashes of the distinct runs of SHINGLE characters; a shorter line is one run."""
-    starts = lambda text, step: F.sequence(F.lit(1), F.greatest(F.length(text) - (SHINGLE - 1), F.lit(1)), F.lit(step))
-    pieces = F.transform(starts(F.col(norm), PIECE), lambda at: F.substring(F.col(norm), at, F.lit(PIECE + SHINGLE - 1)))
-    runs = lambda piece: F.transform(starts(piece, 1), lambda at: F.xxhash64(F.substring(piece, at, F.lit(SHINGLE))))
-    return F.array_distinct(F.flatten(F.transform(pieces, runs)))
+    return F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(F.array_distinct(runs(norm)))
 
 
-def bands(values: list[F.Column]) -> F.Column:
-    return F.array(*(F.xxhash64(F.lit(b), *values[b::BANDS]) for b in range(BANDS)))
+def band_keys(lines: DataFrame, norm: str = "norm") -> DataFrame:
+    """lines with keys, those of the bands: at a pivot, the next ROWS hashes of the line's set in order.
 
-
-def band_keys(found: DataFrame) -> DataFrame:
-    """found with keys for its shingles s."""
-    masked = lambda mask: F.transform("s", lambda x: x.bitwiseXOR(F.lit(mask))) if mask else F.col("s")
-    orders = [masked(mask) for mask in MASKS]
-    ends = [F.array_min(x) for x in orders] + [F.array_max(x) for x in orders[1:] + orders[:1]]  # a band has no order twice
-    found = found.withColumn("sorted", F.sort_array("s")).withColumn("marked", F.sort_array(F.concat("s", F.array(*map(F.lit, PIVOTS)))))
-    n = F.size("s")
-    after = [F.element_at("sorted", (F.array_position("marked", F.lit(p)).cast("int") - 1 - j) % n + 1) for j, p in enumerate(PIVOTS)]
-    none = F.array().cast("array<long>")
-    keys = F.concat(F.when(n <= FEW, bands(ends)).otherwise(none), F.when(n >= MANY, bands(after)).otherwise(none))
-    return found.withColumn("keys", keys).drop("sorted", "marked")
+    A line whose marked shingles are about as many as ask for either set has a row for each; main marks one of them.
+    """
+    found = lines.withColumn("m", runs(norm, f"[{MARKS}]"))
+    found = found.withColumn("s", F.when(F.size("m") < UNSEEN, shingles(norm)))
+    sets = F.array(F.when(F.size("m") >= SEEN, F.array_distinct("m")), F.col("s"))
+    found = found.select(*lines.columns, F.posexplode(F.filter(sets, lambda x: x.isNotNull())).alias("pos", "x"))
+    both = F.sort_array(F.concat("x", F.array(*map(F.lit, PIVOTS))))
+    found = found.select("*", F.sort_array("x").alias("ordered"), both.alias("marked"), F.size("x").alias("n"))
+    found = found.withColumn("ordered", F.concat("ordered", F.slice("ordered", 1, ROWS - 1)))
+    after = lambda j, p: (F.array_position("marked", F.lit(p)).cast("int") - 1 - j) % F.col("n")
+    keys = F.array(*(F.xxhash64(F.lit(j), F.slice("ordered", after(j, p) + 1, F.lit(ROWS))) for j, p in enumerate(PIVOTS)))
+    return found.select(*lines.columns, keys.alias("keys"), (F.col("pos") == 0).alias("main"))
 
 
 def alike(a: str | F.Column, b: str | F.Column) -> F.Column:
@@ -77,31 +83,56 @@ def linked(a: str, b: str) -> F.Column:
     return F.exists(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), lambda both: alike(both["a"], both["b"]))
 
 
+def told_apart(seen: DataFrame) -> DataFrame:
+    """seen with nodes of their own for different lines whose 64-bit hashes are equal: h goes with a second hash g."""
+    clash = cut(seen.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h"))
+    if clash.isEmpty():
+        return seen
+    mixed = seen.join(clash.withColumn("clash", F.lit(True)), "h", "left")
+    return cut(mixed.withColumn("h", F.when(F.col("clash"), F.xxhash64("h", "g")).otherwise(F.col("h"))).drop("clash"))
+
+
+def meet_in_blocks(rest: DataFrame, text: DataFrame) -> DataFrame:
+    """Links (a, b) of all members (k, node, c) of a bucket that lie in different components; a bucket goes in pairs of blocks."""
+    sizes = rest.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    one = rest.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    one = cut(one.join(text.select(F.col("h").alias("node"), "norm"), "node").withColumn("s", shingles()).drop("norm"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = one.select("k", F.col("own").alias("x"), other.alias("y"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
+    right = one.select("k", other.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
+    return left.join(right, ["k", "x", "y"]).where((F.col("ca") < F.col("cb")) & alike("sa", "sb")).select("a", "b").distinct()
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, t, drop: numbers of the lines of a document that a line before them (by doc_id, then number) makes redundant."""
     prepare(docs.sparkSession)
-    found = band_keys(lines_of(docs).withColumn("s", shingles()))
-    seen = cut(found.select("doc_id", "t", "line", "h", "keys"))
+    lines = band_keys(lines_of(docs).withColumn("g", F.xxhash64(F.lit(1), "norm")))
+    with settings(docs.sparkSession, SPLIT):
+        seen = cut(lines.select("doc_id", "t", "line", "h", "g", "keys", "main"))
+    seen = told_apart(seen)
     keyed = seen.select(F.explode("keys").alias("k"), F.col("h").alias("node"))
+    seen = seen.where("main").select("doc_id", "t", "line", "h")
     several = cut(stars(keyed)[0].select("k"))
     members = cut(sieve(keyed, "k", several).join(several, "k").distinct())
-    text = cut(sieve(lines_of(docs).select("h", "norm"), "h", members.select("node")).distinct())
+    spelled = sieve(lines_of(docs).select("h", "norm"), "h", members.select("node"))
+    text = cut(spelled.distinct())
     side = lambda name, norm: text.select(F.col("h").alias(name), F.col("norm").alias(norm))
     rest, links, parts = members.withColumn("c", F.col("node")), None, None
     for r in range(STAR_ROUNDS):
-        heads = rest.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", "k", F.lit(r))).alias("head"))
+        heads = rest.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", "k", F.lit(r))).alias("head"), F.count("*").alias("n"))
+        if r:
+            heads = cut(heads.where(F.col("n") > LARGE))
+            if heads.isEmpty():
+                break
         edges = rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
         found = edges.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(linked("na", "nb")).select("a", "b")
         links = cut(found if links is None else links.unionByName(found))
         parts = components(links)
         named = members.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("c"))
-        still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+        still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("k")
         rest = cut(named.join(still, "k"))
     if not rest.isEmpty():
-        one = rest.join(side("node", "norm"), "node").withColumn("s", shingles())
-        left, right = (one.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "c", "s"))) for x in "ab")
-        more = left.join(right, "k").where((F.col("c_a") < F.col("c_b")) & alike("s_a", "s_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        more = cut(more.distinct())
+        more = cut(meet_in_blocks(rest, text))
         if not more.isEmpty():
             parts = components(links.unionByName(more))
     place = F.struct("doc_id", "t", "line")
@@ -109,10 +140,17 @@ def duplicates(docs: DataFrame) -> DataFrame:
     nodes = cut(nodes.where("n > 1 OR component IS NOT NULL").select("h", "at", F.coalesce("component", "h").alias("c")))
     first = nodes.groupBy("c").agg(F.min("at").alias("first"))
     first = cut(nodes.join(first, "c").select("h", "first"))
-    again = sieve(seen.select("doc_id", "t", "line", "h"), "h", first.select("h")).join(first, "h").where(place != F.col("first"))
+    again = sieve(seen, "h", first.select("h")).join(first, "h").where(place != F.col("first"))
     return again.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
 
+def without(parts: F.Column, drop: F.Column) -> F.Column:
+    """parts without those at the sorted indices drop: the runs between them, one after the other."""
+    before = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(drop, j - 1) + 1)
+    after = lambda j: F.coalesce(F.get(drop, j), F.size(parts))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), lambda j: F.slice(parts, before(j) + 1, after(j) - before(j))))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with redundant lines taken out of text, n_chars (if there) brought up to date, and n_removed added.
 
@@ -121,12 +159,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     that repeat a doc_id and text keep the same lines. All other columns pass through under their names.
     """
     gone = cut(duplicates(docs))
-    key, absent, text_key, drop, removed = fresh(docs, "_doc"), fresh(docs, "_absent"), fresh(docs, "_t"), fresh(docs, "_drop"), fresh(docs, "n_removed")
+    key, absent, text_key, drop, removed, parts = (fresh(docs, x) for x in ("_doc", "_absent", "_t", "_drop", "n_removed", "_parts"))
     gone = gone.select(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("doc_id").isNull().alias(absent), F.col("t").alias(text_key), F.col("drop").alias(drop))
     rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(absent, F.col("doc_id").cast("long").isNull()).withColumn(text_key, F.xxhash64("text"))
     rows = rows.join(gone, [key, absent, text_key], "left")
-    parts = F.split(F.col("text").cast("string"), "\n", -1)
-    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n"))
+    rows = rows.withColumn(parts, F.when(F.col(drop).isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(without(F.col(parts), F.col(drop)), "\n"))
     out = rows.withColumn("text", text).withColumn(removed, F.coalesce(F.size(drop), F.lit(0)).cast("long"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
