@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +299,22 @@ def test_fixity_audit_locates_damage(spark):
     assert warc_audit.audit(held.limit(0), held.limit(0)).count() == 0
     whole = warc_audit.record_bytes(pages, 100)
     assert all(hashlib.sha256(r.record).hexdigest() == r.digest and len(r.record) == r.length for r in whole.collect())
+
+
+def test_substring_dedup_of_repeated_rows_and_ids(spark):
+    rng = random.Random(11)
+    passage, other = words(rng, 70), words(rng, 90)
+    rows = [(1, passage), (2, words(rng, 20) + " " + passage), (2, words(rng, 20)), (3, passage + " " + other), (3, passage + " " + other), (3, "short"), (4, other), (0, words(rng, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.dedup_substrings(docs).drop("changed_text").collect())
+    assert got == brute_removed(rows) and sum(got.values()) == len(rows)
+
+
+def test_substring_dedup_needs_its_automata(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = words(rng, 70)
+    text = pa.array([words(rng, 9) + " " + passage])
+    codes = common.word_codes(passage.encode().split(), common.WordCodes())
+    phrases = [substring_dedup.spelled(codes[k : k + substring_dedup.PHRASE]) for k in range(len(codes) - substring_dedup.PHRASE + 1)]
+    located = lambda found: [w for b in substring_dedup.locate([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), text, pa.array([found], pa.list_(pa.string()))], list("abcd"))]) for w in b.column(4).to_pylist()]
+    assert set(range(9, 30)) <= set(located(phrases)) and located([]) == [] and located(["no such phrase"]) == []
