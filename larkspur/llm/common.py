@@ -43,16 +43,32 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
+class shared_folder:
+    """A folder of this name where checkpoints go, which all executors share."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
+        self.spark = spark
+        self.path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{name}"
+
+    def delete(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, short: bool = True) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files, so that no lost executor loses it.
 
     A checkpointed frame carries its plan's size estimate along, and each join multiplies the estimates of its sides:
     in a loop that number gets so long that it fills the driver. So the files are wrapped anew, without an estimate.
     Shuffle files that led to the checkpoint are of no more use once it is written; they go then and not at the
     driver's next garbage collection. The setting is read when a frame is made and holds for this one alone.
+    short: with Arrow batches of the usual length for texts.
     """
     spark = df.sparkSession
-    prepare(spark)
+    if short:
+        prepare(spark)
     with settings(spark, {CLEANUP: "true"}):
         last = df.select("*")
     saved = last.checkpoint(eager=True)._jdf

@@ -1,20 +1,28 @@
-"""Merkle fixity audit of WARC records held in two replicas.
+"""Merkle fixity audit of WARC files held in two replicas.
 
-Records lie in files at byte offsets. A tree's leaves hash (offset, length, digest) of the records that start in an
-offset range of `RANGE` bytes, in offset order; each level above hashes the children of `FANOUT` ranges by number, up
-to a root a file, and file roots hash on into a root of the collection. An audit compares the replicas' tops and goes
-down only where nodes differ, so it reads the records of differing ranges alone.
+A replica is a folder of WARC files. Its bytes are read back, cut into records at their own headers and hashed. A
+tree's leaves hash (offset, length, digest) of the records that start in an offset range of `RANGE` bytes, in offset
+order; each level above hashes the children of `FANOUT` ranges by number, up to a root a file, and file roots hash on
+into a root of the collection. An audit compares the replicas' tops and goes down only where nodes differ, so it
+looks at the records of differing ranges alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, load, prepare
+from larkspur.llm.common import CLEANUP, cut, load, prepare, settings, shared_folder
 
 RANGE, FANOUT, FILE_RECORDS = 1 << 14, 16, 1000
 #: The head of a record; the content's own digest names it, so a record's bytes follow from the page alone.
+END = "\r\n\r\n"
 HEAD = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:{digest}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n"
 
 
@@ -38,15 +46,75 @@ def records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     return slim.withColumn("file", number).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
 
 
-def record_bytes(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """records() with the record's bytes joined in by digest, for writing: one row a record, sorted by file and offset by the writer."""
+def record_texts(pages: DataFrame, held: DataFrame) -> DataFrame:
+    """held, as records() gives it, with each record's text in the column record, but for the blank lines at its end."""
     head = HEAD.split("{digest}")
     middle, tail = head[1].split("{url}")
     length = tail.split("{length}")
     url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    record = F.concat(F.lit(head[0]), F.sha2(html, 256), F.lit(middle), url, F.lit(length[0]), F.octet_length(html).cast("string"), F.lit(length[1]), html, F.lit("\r\n\r\n")).cast("binary")
-    bodies = pages.select(F.col("page_id").cast("long").alias("p"), record.alias("record")).withColumn("d", F.sha2("record", 256)).dropDuplicates(["p", "d"])
-    return records(pages, file_records).join(bodies, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d")
+    record = F.concat(F.lit(head[0]), F.sha2(html, 256), F.lit(middle), url, F.lit(length[0]), F.octet_length(html).cast("string"), F.lit(length[1]), html)
+    bodies = pages.select(F.col("page_id").cast("long").alias("p"), record.alias("record")).withColumn("d", F.sha2(F.concat("record", F.lit(END)), 256)).dropDuplicates(["p", "d"])
+    return held.join(bodies, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d")
+
+
+def write_replica(records: DataFrame, folder: str, compression: str = "none") -> None:
+    """WARC files of records (file, offset, record): one for each file, its records by offset, each closed by blank lines."""
+    with settings(records.sparkSession, {CLEANUP: "true"}):
+        rows = records.repartition("file").sortWithinPartitions("file", "offset").select("file", "record")
+    rows.write.mode("overwrite").partitionBy("file").text(folder, compression=compression, lineSep=END)
+
+
+def unpacked(content: bytes) -> bytes:
+    """The bytes of a file, or of what can be unpacked of it if it is compressed."""
+    if not content.startswith(b"\x1f\x8b"):
+        return content
+    unzip, parts = zlib.decompressobj(31), []
+    try:
+        for at in range(0, len(content), 1 << 16):
+            parts.append(unzip.decompress(content[at : at + (1 << 16)]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+_LENGTH = re.compile(rb"\r\ncontent-length: *(\d{1,18})\r\n", re.I)
+
+
+def records_in(content: bytes) -> list[tuple[int, int, str]]:
+    """offset, length, digest of each record. Bytes that no record's head opens are passed over up to the next head.
+
+    A record reaches as far as its head says where another record or the end follows there; where the head is
+    damaged, as far as the next record's head.
+    """
+    out, at = [], content.find(b"WARC/1.")
+    while at >= 0:
+        stop, head = -1, content.find(b"\r\n\r\n", at)
+        m = _LENGTH.search(content, at, head + 2) if head >= 0 else None
+        if m:
+            stop = head + 8 + int(m[1])
+            if stop > len(content) or content[stop - 4 : stop] != b"\r\n\r\n":
+                stop = -1
+        if stop < 0:
+            after = content.find(b"\r\n\r\nWARC/1.", at + 1)
+            stop = after + 4 if after >= 0 else len(content)
+        out.append((at, stop - at, hashlib.sha256(content[at:stop]).hexdigest()))
+        at = stop if content.startswith(b"WARC/1.", stop) else content.find(b"WARC/1.", stop)
+    return out
+
+
+def read_replica(spark: SparkSession, folder: str) -> DataFrame:
+    """file, offset, length, digest of every record that the bytes of the folder's WARC files hold. A file is read whole, one at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = records_in(unpacked(content.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["file", "offset", "length", "digest"])
+
+    prepare(spark)
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.files.openCostInBytes": "65536"}):
+        files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, file long").option("pathGlobFilter", "part-*").load(folder)
+        return cut(files.select("file", "content").mapInArrow(run, "file long, offset long, length long, digest string"), short=False)
 
 
 def gathered(rows: DataFrame, *keys: str) -> DataFrame:
@@ -120,16 +188,30 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     return agree.unionByName(judged).unionByName(extra, allowMissingColumns=True)
 
 
-def damaged(held: DataFrame) -> DataFrame:
-    """A replica as a disk fault leaves it: pages whose id leaves 7 by 101 have other bytes, those that leave 5 by 103 are gone."""
-    changed = held.withColumn("digest", F.when(F.col("page_id") % 101 == 7, F.sha2(F.concat(F.lit("damaged"), "digest"), 256)).otherwise(F.col("digest")))
-    return changed.where("NOT (page_id % 103 <=> 5)")
+def damaged(records: DataFrame) -> DataFrame:
+    """What a faulty disk would have written: in pages whose id leaves 7 by 101 a byte differs, those that leave 5 by 103 are all zeros."""
+    flipped = F.regexp_replace("record", "^WARC/1.1\r\nWARC-Type: resource", "WARC/1.1\r\nWARC-Type: resourcf")
+    zeros = F.repeat(F.lit("\0"), F.octet_length("record"))
+    record = F.when(F.col("page_id") % 103 == 5, zeros).when(F.col("page_id") % 101 == 7, flipped).otherwise(F.col("record"))
+    return records.withColumn("record", record)
 
 
 def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of pages with its place and what the audit of a damaged replica says of it."""
-    held = cut(records(load(spark, sf_dir, "pages")))
-    return audit(held, damaged(held)).select("page_id", "file", "offset", "length", "digest", "copies", "status")
+    """Every record of pages with its place and what the audit of a damaged replica says of it.
+
+    Both replicas are written as WARC files into the shared folder, read back for the audit, and deleted.
+    """
+    prepare(spark)
+    pages = load(spark, sf_dir, "pages")
+    held = cut(records(pages))
+    folder = shared_folder(spark, f"warc-{uuid.uuid4().hex}")
+    whole = record_texts(pages, held)
+    write_replica(whole, f"{folder.path}/a", "gzip")
+    write_replica(damaged(whole), f"{folder.path}/b", "gzip")
+    found = audit(read_replica(spark, f"{folder.path}/a"), read_replica(spark, f"{folder.path}/b"))
+    folder.delete()
+    said = found.where("status <> 'extra'").select("file", "offset", "status")
+    return held.join(said, ["file", "offset"], "left").select("page_id", "file", "offset", "length", "digest", "copies", F.coalesce("status", F.lit("missing")).alias("status"))
 
 
 QUERIES = {"op10_merkle_fixity": op10_merkle_fixity}

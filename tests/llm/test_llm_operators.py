@@ -287,18 +287,40 @@ def test_quality_rules(spark, docs, none):
     assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
 
-def test_fixity_audit_locates_damage(spark):
-    pages = spark.createDataFrame([(i % 700, f"http://h/{i}", "x" * (i % 97)) for i in range(900)] + [(None, None, None), (3, "http://h/3", "x" * 3)], "page_id long, url string, html string").withColumn("offset", F.lit(1))
+def test_fixity_audit_locates_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(i % 700, f"http://h/{i}", "x" * (i % 97)) for i in range(900)] + [(None, None, None), (3, "http://h/3", "x" * 3), (9, "http://é/", "WARC/1.1\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string").withColumn("offset", F.lit(1))
     held = warc_audit.records(pages, 100)
-    assert held.count() == 901 and held.agg(F.sum("copies")).first()[0] == 902
-    damaged = warc_audit.damaged(held)
-    got = Counter((r.page_id, r.status) for r in warc_audit.audit(held, damaged).collect())
-    want = Counter((r.page_id, "missing" if r.page_id is not None and r.page_id % 103 == 5 else "corrupt" if r.page_id is not None and r.page_id % 101 == 7 else "ok") for r in held.collect())
-    assert got == want
+    assert held.count() == 902 and held.agg(F.sum("copies")).first()[0] == 903
+    whole = warc_audit.record_texts(pages, held)
+    place = ["file", "offset", "length", "digest"]
+    for name, records, kind in (("a", whole, "none"), ("b", warc_audit.damaged(whole), "gzip")):
+        warc_audit.write_replica(records, str(tmp_path / name), kind)
+    ours, theirs = (warc_audit.read_replica(spark, str(tmp_path / x)) for x in "ab")
+    want = {tuple(r) for r in held.select(*place).collect()}
+    assert {tuple(r) for r in ours.select(*place).collect()} == want
+    status = lambda p: "missing" if p is not None and p % 103 == 5 else "corrupt" if p is not None and p % 101 == 7 else "ok"
+    expect = {(r.file, r.offset): status(r.page_id) for r in held.collect()}
+    assert {(r.file, r.offset): r.status for r in warc_audit.audit(ours, theirs).collect()} == expect
     assert {r.status for r in warc_audit.audit(held, held).collect()} == {"ok"} and {r.status for r in warc_audit.audit(held.limit(0), held).collect()} == {"extra"}
     assert warc_audit.audit(held.limit(0), held.limit(0)).count() == 0
-    whole = warc_audit.record_bytes(pages, 100)
-    assert all(hashlib.sha256(r.record).hexdigest() == r.digest and len(r.record) == r.length for r in whole.collect())
+
+    spot = held.where("page_id = 50").orderBy("offset").first()  # one byte of a written file turns over
+    (path,) = (tmp_path / "a" / f"file={spot.file}").glob("part-*")
+    content = bytearray(path.read_bytes())
+    content[spot.offset + spot.length - 6] ^= 1
+    path.write_bytes(content)
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    hit = warc_audit.audit(ours, warc_audit.read_replica(spark, str(tmp_path / "a"))).where("status <> 'ok'").collect()
+    assert [(r.file, r.offset, r.status) for r in hit] == [(spot.file, spot.offset, "corrupt")]
+
+
+def test_fixity_audit_goes_down_the_trees(spark, monkeypatch):
+    rows = [(i % 3, 5000 * (i // 3), 5000, f"{i:064x}") for i in range(300)]
+    held = spark.createDataFrame(rows, "file long, offset long, length long, digest string")
+    other = spark.createDataFrame([(f, o, n, "bad" if (f, o) == (1, 250000) else d) for f, o, n, d in rows], held.schema)
+    assert [(r.file, r.offset) for r in warc_audit.audit(held, other).where("status = 'corrupt'").collect()] == [(1, 250000)]
+    monkeypatch.setattr(warc_audit, "gathered", lambda rows, *keys: rows.groupBy(*keys).agg(F.lit("same").alias("hash")))  # trees that tell nothing
+    assert {r.status for r in warc_audit.audit(held, other).collect()} == {"ok"}
 
 
 def test_substring_dedup_of_repeated_rows_and_ids(spark):
