@@ -125,7 +125,8 @@ def test_jaccard_join(docs, none):
 
 
 def test_blocks_keep_every_link(docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    for name, value in (("LONG", 2), ("BLOCK", 2), ("STAR_ROUNDS", 1), ("SHARE", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
     got = Counter(tuple(r) for r in jaccard_join.join(docs).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
@@ -340,3 +341,32 @@ def test_substring_dedup_needs_its_automata(spark, monkeypatch):
     phrases = [substring_dedup.spelled(codes[k : k + substring_dedup.PHRASE]) for k in range(len(codes) - substring_dedup.PHRASE + 1)]
     located = lambda found: [w for b in substring_dedup.locate([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), text, pa.array([found], pa.list_(pa.string()))], list("abcd"))]) for w in b.column(4).to_pylist()]
     assert set(range(9, 30)) <= set(located(phrases)) and located([]) == [] and located(["no such phrase"]) == []
+
+
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    rng = random.Random(13)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(3, a), (9, a), (8, b), (9, b), (20, c), (20, ""), (20, c), (31, c), (40, "")]
+    got = Counter(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(3, 37, 3), (9, 37, 3), (8, 37, 3), (9, 37, 3), (20, 37, 20), (20, 0, 20), (20, 37, 20), (31, 37, 20), (40, 0, 40)])
+
+
+def test_jaccard_join_finds_links_of_large_sets(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(12):  # families of edited copies around the threshold, all large
+        base = words(rng, 150 + 60 * k, f"f{k % 4}").split()
+        for j in range(9):
+            w = list(base)
+            for _ in range(len(base) * j // 200):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(w)))
+    got = Counter(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
+
+
+def test_jaccard_boundary_is_the_cheapest():
+    rule = jaccard_join.Rule()
+    for sizes in ({20: 5, 60: 10, 300: 4}, {40: 100}, {150: 7, 20: 1}):
+        cost = lambda x: sum(c * ((rule.subsets(n) if n <= x else 0) + (rule.bands if 100 * n >= rule.link * x else 0)) for n, c in sizes.items())
+        assert cost(rule.cheapest(sizes)) == min(map(cost, range(rule.alone, jaccard_join.MOST_SMALL + 1)))
