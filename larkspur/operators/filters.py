@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +78,16 @@ def equals(c: Column, kind: T.DataType, v: object) -> Column:
     return c.eqNullSafe(literal(v))
 
 
+def valid_pattern(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it."""
+    jvm = getattr(SparkContext._active_spark_context, "_jvm", None)
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern) if jvm else re.compile(pattern)
+    except (PySparkException, Py4JJavaError, re.error):
+        return False
+    return True
+
+
 def _is_time(kind: T.DataType, v: object) -> bool:
     return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) and isinstance(v, str)
 
@@ -118,9 +131,7 @@ def one(c: Column, kind: T.DataType, op: str, v: object) -> Column:
     if op == "$regex":
         if not isinstance(v, str):
             raise FilterError("$regex needs a string")
-        try:
-            re.compile(v)
-        except re.error:
+        if not valid_pattern(v):
             return F.lit(FALSE)
         return F.coalesce(c.rlike(v), F.lit(FALSE)) if rank_of_type(kind) == STRING else F.lit(FALSE)
     rank = rank_of_type(kind)  # $contains

@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections import deque
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Operations that bring a key into being, whatever it holds.
+MAKES = ("set", "incr", "decr", "hset", "lpush", "rpush", "sadd", "zadd")
+
+
+def since_del(log: DataFrame) -> DataFrame:
+    """The operations of each key after its last del, which takes the key out of every container."""
+    gone = log.where("op = 'del'").groupBy("key").agg(F.max("seq").alias("_gone"))
+    return log.join(gone, "key", "left").where("_gone IS NULL OR seq > _gone").drop("_gone")
+
+
 def last_set(log: DataFrame) -> DataFrame:
     """key, value of keys whose last set or del is a set."""
     last = log.where(F.col("op").isin("set", "del")).groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"))
@@ -19,33 +32,57 @@ def counters(log: DataFrame) -> DataFrame:
     base = log.where(F.col("op").isin("set", "del")).groupBy("key").agg(F.max_by(F.struct("op", "value", "seq"), "seq").alias("base"))
     start = F.when(F.col("base.op") == "set", F.coalesce(F.expr("try_cast(base.value AS BIGINT)"), F.lit(0))).otherwise(F.lit(0))
     steps = log.where(F.col("op").isin("incr", "decr")).join(base.select("key", F.col("base.seq").alias("since")), "key", "left").where("since IS NULL OR seq > since")
-    delta = F.coalesce(F.expr("try_cast(value AS BIGINT)"), F.lit(1)) * F.when(F.col("op") == "incr", 1).otherwise(-1)
-    sums = steps.groupBy("key").agg(F.sum(delta).alias("delta"))
+    step = F.coalesce(F.expr("try_cast(value AS BIGINT)"), F.lit(1)) * F.when(F.col("op") == "incr", 1).otherwise(-1)
+    sums = steps.groupBy("key").agg(F.sum(step).alias("moved"))
     out = base.select("key", start.alias("start"), F.col("base.op").alias("op")).join(sums, "key", "full")
-    return out.where("delta IS NOT NULL OR op = 'set'").select("key", (F.coalesce("start", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("value"))
+    return out.where("moved IS NOT NULL OR op = 'set'").select("key", (F.coalesce("start", F.lit(0)) + F.coalesce("moved", F.lit(0))).alias("value"))
 
 
 def hashes(log: DataFrame) -> DataFrame:
     """key, field, value: the last hset of each field that no hdel follows. Fields are rows, so a hash can be of any size."""
-    last = log.where(F.col("op").isin("hset", "hdel")).groupBy("key", "field").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"))
+    last = since_del(log).where(F.col("op").isin("hset", "hdel")).groupBy("key", "field").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"))
     return last.where("last.op = 'hset'").select("key", "field", F.col("last.value").alias("value"))
 
 
 def lists(log: DataFrame) -> DataFrame:
     """key, pos (from 0), value of pushes: a left push stands before all, a right one after all."""
     place = F.when(F.col("op") == "lpush", -F.col("seq")).otherwise(F.col("seq"))
-    rows = log.where(F.col("op").isin("lpush", "rpush")).withColumn("place", place)
+    rows = since_del(log).where(F.col("op").isin("lpush", "rpush")).withColumn("place", place)
     return rows.select("key", "value", (F.row_number().over(Window.partitionBy("key").orderBy("place")) - 1).cast("long").alias("pos"))
 
 
 def popped(log: DataFrame) -> DataFrame:
     """key, value, pos of what stays when pops come after all pushes: each takes from its end."""
     held = lists(log).withColumn("size", F.count("*").over(Window.partitionBy("key")))
-    pops = log.where(F.col("op").isin("lpop", "rpop")).groupBy("key").agg(F.count_if(F.col("op") == "lpop").alias("l"), F.count_if(F.col("op") == "rpop").alias("r"))
+    pops = since_del(log).where(F.col("op").isin("lpop", "rpop")).groupBy("key").agg(F.count_if(F.col("op") == "lpop").alias("l"), F.count_if(F.col("op") == "rpop").alias("r"))
     kept = held.join(pops, "key", "left").where("pos >= coalesce(l, 0) AND pos < size - coalesce(r, 0)")
     return kept.select("key", "value", (F.col("pos") - F.coalesce("l", F.lit(0))).alias("pos"))
 
 
+def replayed_lists(log: DataFrame) -> DataFrame:
+    """key, pos, value of lists whose pushes, pops and dels run in order; a pop of an empty list does nothing.
+
+    A recurrence, so a key's operations run in one task, and a list must fit into it.
+    """
+
+    def run(rows):
+        held: deque = deque()
+        for op, value in rows.sort_values("seq")[["op", "value"]].itertuples(index=False):
+            if op == "lpush":
+                held.appendleft(value)
+            elif op == "rpush":
+                held.append(value)
+            elif op == "del":
+                held.clear()
+            elif held:
+                held.popleft() if op == "lpop" else held.pop()
+        return pd.DataFrame({"key": [rows["key"].iloc[0]] * len(held), "pos": range(len(held)), "value": pd.Series(list(held), dtype=object)})
+
+    kinds = dict(log.dtypes)
+    ops = log.where(F.col("op").isin("lpush", "rpush", "lpop", "rpop", "del")).select("key", "seq", "op", "value")
+    return ops.groupBy("key").applyInPandas(run, f"key {kinds['key']}, pos long, value {kinds['value']}")
+
+
 def list_range(log: DataFrame, start: int, stop: int) -> DataFrame:
     """lrange: negative ends count from the back, both ends belong to the range and are held to the list."""
     held = lists(log).withColumn("size", F.count("*").over(Window.partitionBy("key")))
@@ -55,13 +92,13 @@ def list_range(log: DataFrame, start: int, stop: int) -> DataFrame:
 
 def members(log: DataFrame) -> DataFrame:
     """key, value of sets: the last sadd or srem of each member decides."""
-    last = log.where(F.col("op").isin("sadd", "srem")).groupBy("key", "value").agg(F.max_by("op", "seq").alias("op"))
+    last = since_del(log).where(F.col("op").isin("sadd", "srem")).groupBy("key", "value").agg(F.max_by("op", "seq").alias("op"))
     return last.where("op = 'sadd'").select("key", "value")
 
 
 def sorted_set(log: DataFrame) -> DataFrame:
     """key, value, score, rank (from 0) by score, then member; a new zadd moves a member."""
-    last = log.where(F.col("op").isin("zadd", "zrem")).groupBy("key", "value").agg(F.max_by(F.struct("op", "score"), "seq").alias("last"))
+    last = since_del(log).where(F.col("op").isin("zadd", "zrem")).groupBy("key", "value").agg(F.max_by(F.struct("op", "score"), "seq").alias("last"))
     live = last.where("last.op = 'zadd'").select("key", "value", F.col("last.score").alias("score"))
     return live.withColumn("rank", (F.row_number().over(Window.partitionBy("key").orderBy("score", "value")) - 1).cast("long"))
 
@@ -72,21 +109,48 @@ def glob(column: Column, pattern: str) -> Column:
 
 
 def ttl_state(log: DataFrame, now: Column) -> DataFrame:
-    """key, ttl: whole seconds left, -1 without expiry; keys whose time has come are gone (ttl -2 to one who asks).
+    """key, ttl: whole seconds left, -1 without expiry; keys whose time has come, or that nothing made, are gone (ttl -2 to one who asks).
 
-    A set with a ttl of 0, or persist, clears the expiry; an expire or a set with a ttl starts it.
+    A set with a ttl of 0, or persist, clears the expiry; an expire or a set with a ttl starts it. An expire of a key
+    that does not exist just then does nothing, and a del takes the expiry along.
     """
-    last = log.where(F.col("op").isin("set", "expire", "persist", "del")).groupBy("key").agg(F.max_by(F.struct("op", "ttl", "ts"), "seq").alias("x"))
-    ends = F.when(F.col("x.op").isin("set", "expire") & (F.col("x.ttl") > 0), F.col("x.ts") + F.col("x.ttl") * 1000)
-    rows = last.where("x.op <> 'del'").select("key", ends.alias("ends"))
-    return rows.where(F.col("ends").isNull() | (now < F.col("ends"))).select("key", F.when(F.col("ends").isNull(), F.lit(-1)).otherwise(F.floor((F.col("ends") - now) / 1000)).cast("long").alias("ttl"))
-
-
-def lru(log: DataFrame, capacity: int, shards: int = 32) -> DataFrame:
-    """Keys that stay when each shard holds its `capacity` last touched ones."""
-    last = log.groupBy("key").agg(F.max("seq").alias("touched")).withColumn("shard", F.pmod(F.crc32(F.col("key").cast("string").cast("binary")), F.lit(shards)))
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("touched")))
-    return last.withColumn("_r", rank).where(F.col("_r") <= capacity).drop("_r")
+    made = F.when(F.col("op").isin(*MAKES), F.lit(True)).when(F.col("op") == "del", F.lit(False))
+    upto = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.withColumn("_alive", F.last(made, ignorenulls=True).over(upto))
+    ends = F.when((F.col("op") == "expire") | ((F.col("op") == "set") & (F.col("ttl") > 0)), F.col("ts") + F.col("ttl") * 1000)
+    counts = F.col("op").isin("set", "persist", "del") | ((F.col("op") == "expire") & F.col("_alive"))
+    state = rows.groupBy("key").agg(F.max_by("_alive", "seq").alias("alive"), F.max_by(F.struct(ends.alias("at")), F.when(counts, F.col("seq"))).alias("x"))
+    left = state.where("alive").select("key", F.col("x.at").alias("ends")).where(F.col("ends").isNull() | (now < F.col("ends")))
+    return left.select("key", F.when(F.col("ends").isNull(), F.lit(-1)).otherwise(F.floor((F.col("ends") - now) / 1000)).cast("long").alias("ttl"))
+
+
+def footprint(log: DataFrame) -> DataFrame:
+    """key, mem_bytes over all containers: the key once a container, and its fields, values and members; a score takes 8."""
+    size = lambda *columns: sum((F.octet_length(F.col(c).cast("string")) for c in columns), F.lit(0))
+    parts = [
+        last_set(log).select("key", F.lit("kv").alias("held"), size("value").alias("n")),
+        hashes(log).select("key", F.lit("hash").alias("held"), size("field", "value").alias("n")),
+        lists(log).select("key", F.lit("list").alias("held"), size("value").alias("n")),
+        members(log).select("key", F.lit("set").alias("held"), size("value").alias("n")),
+        sorted_set(log).select("key", F.lit("zset").alias("held"), (size("value") + 8).alias("n")),
+    ]
+    rows = reduce(DataFrame.unionByName, parts).groupBy("key", "held").agg(F.sum("n").alias("n"))
+    return rows.groupBy("key").agg(F.sum(F.col("n") + size("key")).cast("long").alias("mem_bytes"))
+
+
+def exists(log: DataFrame) -> DataFrame:
+    """key of every key that some container holds."""
+    return footprint(log).select("key")
+
+
+def lru(log: DataFrame, capacity: int, shards: int = 32, most_bytes: int | None = None, shard: Column | None = None) -> DataFrame:
+    """Keys that stay when each shard holds its last touched ones: `capacity` of them, and of `most_bytes` in all (log column mem_bytes)."""
+    shard = F.pmod(F.crc32(F.col("key").cast("string").cast("binary")), F.lit(shards)) if shard is None else shard
+    size = [F.max_by("mem_bytes", "seq").alias("mem_bytes")] if most_bytes is not None else []
+    last = log.groupBy("key").agg(F.max("seq").alias("touched"), *size).withColumn("shard", shard)
+    w = Window.partitionBy("shard").orderBy(F.desc("touched"))
+    kept = last.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= capacity).drop("_r")
+    return kept if most_bytes is None else kept.withColumn("_b", F.sum("mem_bytes").over(w)).where(F.col("_b") <= most_bytes).drop("_b")
 
 
 def stats(log: DataFrame) -> DataFrame:

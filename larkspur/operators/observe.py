@@ -60,3 +60,15 @@ def token_bucket(df: DataFrame, key: str, ts_seconds: str, rate: float, burst: f
         return rows.assign(allowed=out)
 
     return df.groupBy(key).applyInPandas(run, schema)
+
+
+def status_classes(df: DataFrame, status: str = "status") -> DataFrame:
+    """status_class (2 for 200 to 299, and so on) and its requests."""
+    return df.groupBy(F.floor(F.col(status) / 100).cast("int").alias("status_class")).agg(F.count("*").alias("requests"))
+
+
+def exposition(df: DataFrame, name: str, value: str, *labels: str) -> DataFrame:
+    """line: a metric's rows as text that a scraper reads, one line each."""
+    quoted = [F.concat(F.lit(f'{x}="'), F.regexp_replace(F.col(x).cast("string"), r'(["\\])', r"\\$1"), F.lit('"')) for x in labels]
+    inside = F.concat(F.lit("{"), F.concat_ws(",", *quoted), F.lit("}")) if labels else F.lit("")
+    return df.select(F.concat(F.lit(name), inside, F.lit(" "), F.col(value).cast("string")).alias("line"))

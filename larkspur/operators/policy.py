@@ -5,13 +5,21 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from larkspur.operators.filters import match
+from larkspur.plans.pipeline import aggregate
 
 DENY = {"$or": []}
 #: Fixed privilege bits.
-PRIVILEGES = {"SELECT": 1, "INSERT": 2, "UPDATE": 4, "DELETE": 8, "CREATE": 16, "DROP": 32, "ALTER": 64, "INDEX": 128, "GRANT": 256}
+PRIVILEGES = {
+    "SELECT": 1, "INSERT": 2, "UPDATE": 4, "DELETE": 8, "CREATE": 16, "DROP": 32, "ALTER": 64, "INDEX": 128, "TRUNCATE": 256,
+    "REFERENCES": 512, "TRIGGER": 1024, "EXECUTE": 2048, "USAGE": 4096, "CREATE_TEMP": 8192, "CONNECT": 16384, "ALL": 0xFFFFFFFF,
+}
+#: Fixed names of the roles that every system has.
+SYSTEM_ROLES = ["superuser", "db_admin", "user_admin", "read_write", "read_only", "public"]
+MOST_FAILURES = 5
 _TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<num>-?\d+(?:\.\d+)?)|(?P<op>!=|<>|<=|>=|[=<>(),])|(?P<name>\$?[A-Za-z_][\w.]*(?:\(\))?))""")
 _OPS = {"=": "$eq", "!=": "$ne", "<>": "$ne", "<": "$lt", "<=": "$lte", ">": "$gt", ">=": "$gte"}
 
@@ -160,3 +168,43 @@ def allowed(permissions: list[dict], roles: set[str], target: dict, *names: str)
     need = grant(0, *names)
     fits = lambda p: all(not p["target"].get(k) or p["target"][k] == v for k, v in target.items())
     return any(p["role"] in roles and fits(p) and p["privileges"] & need == need for p in permissions)
+
+
+def locked_out(attempts: DataFrame, user: str, seq: str, ok: str, most: int = MOST_FAILURES) -> DataFrame:
+    """user, locked_at: users with `most` failures without a success between, and the attempt that locked them."""
+    runs = attempts.withColumn("_run", F.sum(F.col(ok).cast("int")).over(Window.partitionBy(user).orderBy(seq)))
+    failed = runs.where(~F.col(ok)).withColumn("_n", F.row_number().over(Window.partitionBy(user, "_run").orderBy(seq)))
+    return failed.where(F.col("_n") == most).groupBy(user).agg(F.min(seq).alias("locked_at"))
+
+
+@dataclass
+class Guard:
+    """Privileges and policies of one user, at every way into a collection."""
+
+    roles: set[str]
+    permissions: list[dict]
+    policies: dict[str, list[Policy]]
+    user: str = ""
+    database: str = ""
+
+    def may(self, name: str, *privileges: str) -> bool:
+        return "superuser" in self.roles or allowed(self.permissions, self.roles, {"type": "collection", "name": name}, *privileges)
+
+    def rows(self, df: DataFrame, name: str, command: str = "SELECT", check: bool = False) -> DataFrame:
+        """Rows of the collection that the user may see, change or (check) write."""
+        if not self.may(name, command):
+            raise PermissionError(f"{command} on {name}")
+        return df if "superuser" in self.roles else secure(df, self.policies.get(name), command, self.roles, self.user, self.database, check)
+
+    def aggregate(self, name: str, stages: list[dict], collections: dict[str, DataFrame], **settings) -> DataFrame:
+        """A pipeline over the visible rows; collections that $lookup reads are held to their own policies too."""
+        read = {s["$lookup"]["from"] for s in stages if isinstance(s.get("$lookup"), dict) and s["$lookup"].get("from") in collections}
+        seen = {n: self.rows(collections[n], n) for n in read}
+        return aggregate(self.rows(collections[name], name), stages, seen, **settings)
+
+    def written(self, new: DataFrame, name: str) -> DataFrame:
+        """new, if all its rows may be written."""
+        kept = self.rows(new, name, "INSERT", check=True)
+        if not new.exceptAll(kept).isEmpty():
+            raise PermissionError(f"rows outside the policies of {name}")
+        return new

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import hlc, routing
 from larkspur.operators import kv, observe, policy, txn, updates, vectors
-from larkspur.operators.find import find, found_total, project
+from larkspur.operators.find import find, found_total, live, project
 from larkspur.operators.filters import match
 from larkspur.plans.pipeline import aggregate
-from larkspur.sources.catalog import changes, key_range, load, newest
+from larkspur.sources.catalog import Catalog, backup, changes, get, get_document, has_gap, key_range, load, newest, restore_into, snapshot, uses_index, write_indexed, write_log
 from larkspur.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,11 +323,11 @@ searched("vec_euclidean", "euclidean", f"1 / (1 + list_distance({_E}, {_Q}))")
 searched("vec_min_score", "cosine", _COS, 0.25)
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings c WHERE q.vec_id < 10)
+@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(s, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 3""")
 def q_vec_batch_knn(spark, d):
     rows = load(spark, d, "embeddings")
-    asked = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.search_many(rows, asked, 3, "dot").select("query_id", "vec_id", F.round("score", 5).alias("score"))
 
 
@@ -349,12 +349,12 @@ def q_rls_deny(spark, d):
     return policy.secure(load(spark, d, "orders"), [policy.Policy("broken", using="o_orderstatus = = 'F'")]).select("o_orderkey")
 
 
-@query("SELECT event_type AS role, (event_type IN ('click', 'purchase')) AS allowed FROM events GROUP BY event_type")
+@query("SELECT event_type AS role, (event_type = 'click' OR event_type LIKE 'p%') AS allowed FROM events GROUP BY event_type")
 def q_priv_check(spark, d):
-    parents = {"purchase": ["click"]}
     permissions = [{"role": "click", "target": {"type": "collection", "name": ""}, "privileges": policy.grant(0, "SELECT", "INSERT")}]
     roles = load(spark, d, "events").select(F.col("event_type").alias("role")).distinct()
-    names = ["click", "error", "purchase", "signup", "view"]
+    names = [r[0] for r in roles.collect()]  # one row a role
+    parents = {n: ["click"] for n in names if n.startswith("p")}
     yes = [n for n in names if policy.allowed(permissions, policy.closure(n, parents), {"type": "collection", "name": "orders"}, "SELECT")]
     return roles.select("role", F.col("role").isin(yes).alias("allowed"))
 
@@ -399,16 +399,59 @@ def q_key_range(spark, d):
     return key_range(load(spark, d, "part").select("p_name", "p_partkey"), "p_name", "c", "f")
 
 
-@query()
+def xored(a: str, shift: int) -> str:
+    return f"CAST(xor(CAST({a} AS UBIGINT), CAST({a} // {1 << shift} AS UBIGINT)) AS UHUGEINT)"
+
+
+def ring_sql(shards: list[str]) -> str:
+    """Tables k (event_id, its place) and r (place, owner) of a ring, by the formula of the hash."""
+    wrap = 1 << 64
+    fnv = f"list_reduce(list_prepend(CAST({0xCBF29CE484222325} AS UHUGEINT), list_transform(string_split(x, ''), lambda c: CAST(ord(c) AS UHUGEINT))), lambda h, b: (CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS UHUGEINT) * {0x100000001B3}) % {wrap})"
+    steps = ["h0 AS (SELECT id, x, owner, " + fnv + " AS h FROM names)"]
+    for n, (shift, factor) in enumerate(((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)), 1):
+        steps.append(f"h{n} AS (SELECT id, owner, ({xored('h', shift)} * {factor}) % {wrap} AS h FROM h{n - 1})")
+    steps.append(f"h3 AS (SELECT id, owner, CAST({xored('h', 31)} AS UBIGINT) AS place FROM h2)")
+    names = " UNION ALL ".join([f"SELECT NULL AS id, '{s}#' || v AS x, '{s}' AS owner FROM range(256) t(v)" for s in shards] + ["SELECT event_id, CAST(event_id AS VARCHAR), NULL FROM events"])
+    return f"WITH names AS ({names}), {', '.join(steps)}, r AS (SELECT place, owner FROM h3 WHERE owner IS NOT NULL), k AS (SELECT id AS event_id, place FROM h3 WHERE owner IS NULL)"
+
+
+def owners_sql(shards: list[str]) -> str:
+    return f"({ring_sql(shards)} SELECT k.event_id, coalesce(r.owner, (SELECT arg_min(owner, place) FROM r)) AS owner FROM k ASOF LEFT JOIN r ON k.place <= r.place)"
+
+
+THREE, FOUR = ["s0", "s1", "s2"], ["s0", "s1", "s2", "s3"]
+
+
+@query(f"SELECT event_id, owner FROM {owners_sql(THREE)}")
+def q_route_owner(spark, d):
+    return load(spark, d, "events").select("event_id", routing.Ring(THREE).route(F.col("event_id")).alias("owner"))
+
+
+@query(f"SELECT owner, count(*) AS n FROM {owners_sql(THREE)} GROUP BY 1")
 def q_route_balance(spark, d):
-    ring = routing.Ring(["s0", "s1", "s2"])
-    return load(spark, d, "events").select(ring.route(F.col("event_id")).alias("owner")).groupBy("owner").agg(F.count("*").alias("n"))
+    return load(spark, d, "events").select(routing.Ring(THREE).route(F.col("event_id")).alias("owner")).groupBy("owner").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT a.event_id, a.owner AS old_owner, b.owner AS new_owner FROM {owners_sql(THREE)} a JOIN {owners_sql(FOUR)} b USING (event_id) WHERE a.owner <> b.owner")
 def q_reshard_moves(spark, d):
-    rows = load(spark, d, "events").select("event_id")
-    return routing.moves(rows, "event_id", routing.Ring(["s0", "s1", "s2"]), routing.Ring(["s0", "s1", "s2", "s3"]))
+    return routing.moves(load(spark, d, "events").select("event_id"), "event_id", routing.Ring(THREE), routing.Ring(FOUR))
+
+
+@query(f"SELECT owner, count(*) AS rows, count(DISTINCT owner) AS tasks FROM {owners_sql(FOUR)} GROUP BY 1")
+def q_shard_bulk_insert(spark, d):
+    put = routing.dealt(load(spark, d, "events").select("event_id"), "event_id", routing.Ring(FOUR)).withColumn("task", F.spark_partition_id())
+    return put.groupBy("owner").agg(F.count("*").alias("rows"), F.count_distinct("task").alias("tasks"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'tick', '00000000000a0000'), (2, 'tick', '00000000000a0001'), (3, 'remote ahead', '0000000000140008'), (4, 'remote behind', '0000000000140009'),
+(5, 'same time', '0000000000140021'), (6, 'beyond the drift', '00000000ea920001'), (7, 'full counter', '00000000ea930000'), (8, 'own time ahead', '00000001d4c00000')) t(step, what, hlc)""")
+def q_hlc_update(spark, d):
+    clock = hlc.Clock()
+    steps = [(1, "tick", clock.tick(10)), (2, "tick", clock.tick(9)), (3, "remote ahead", clock.update(f"{20:012x}{7:04x}", 12)), (4, "remote behind", clock.update(f"{3:012x}{9:04x}", 13)), (5, "same time", clock.update(f"{20:012x}{0x20:04x}", 20))]
+    steps.append((6, "beyond the drift", clock.update(f"{10**12:012x}{5:04x}", 50)))
+    clock.count = 0xFFFF
+    steps += [(7, "full counter", clock.tick(60)), (8, "own time ahead", clock.update(f"{30:012x}{1:04x}", 0x1D4C0))]
+    return spark.createDataFrame(steps, "step int, what string, hlc string")
 
 
 def op_log(spark, d, ops: dict[str, str]) -> DataFrame:
@@ -443,8 +486,8 @@ def q_kv_set_last(spark, d):
 
 
 @query(f"""WITH l AS (SELECT * FROM {log_sql(STRING_OPS)}), b AS (SELECT key, max(seq) AS s, arg_max(op, seq) AS op, arg_max(value, seq) AS v FROM l WHERE op IN ('set', 'del') GROUP BY 1),
-i AS (SELECT l.key, sum(CASE WHEN l.op = 'incr' THEN CAST(l.value AS BIGINT) ELSE -CAST(l.value AS BIGINT) END) AS delta FROM l LEFT JOIN b ON l.key = b.key WHERE l.op IN ('incr', 'decr') AND (b.s IS NULL OR l.seq > b.s) GROUP BY 1)
-SELECT coalesce(b.key, i.key) AS key, CAST(CASE WHEN b.op = 'set' THEN CAST(b.v AS BIGINT) ELSE 0 END + coalesce(delta, 0) AS BIGINT) AS value FROM b FULL JOIN i ON b.key = i.key WHERE delta IS NOT NULL OR b.op = 'set'""")
+i AS (SELECT l.key, sum(CASE WHEN l.op = 'incr' THEN CAST(l.value AS BIGINT) ELSE -CAST(l.value AS BIGINT) END) AS moved FROM l LEFT JOIN b ON l.key = b.key WHERE l.op IN ('incr', 'decr') AND (b.s IS NULL OR l.seq > b.s) GROUP BY 1)
+SELECT coalesce(b.key, i.key) AS key, CAST(CASE WHEN b.op = 'set' THEN CAST(b.v AS BIGINT) ELSE 0 END + coalesce(moved, 0) AS BIGINT) AS value FROM b FULL JOIN i ON b.key = i.key WHERE moved IS NOT NULL OR b.op = 'set'""")
 def q_kv_incr(spark, d):
     return kv.counters(op_log(spark, d, STRING_OPS))
 
@@ -477,17 +520,23 @@ def q_kv_glob(spark, d):
     return load(spark, d, "part").where(kv.glob(F.col("p_name"), "?a*e*")).select("p_partkey", "p_name")
 
 
-@query(f"""WITH x AS (SELECT key, arg_max(op, seq) AS op, arg_max(ttl, seq) AS ttl, arg_max(ts, seq) AS ts FROM {log_sql(TTL_OPS)} GROUP BY 1),
-e AS (SELECT key, CASE WHEN op IN ('set', 'expire') AND ttl > 0 THEN ts + ttl * 1000 END AS ends FROM x WHERE op <> 'del')
-SELECT key, CAST(CASE WHEN ends IS NULL THEN -1 ELSE floor((ends - 1706659200000) / 1000.0) END AS BIGINT) AS ttl FROM e WHERE ends IS NULL OR 1706659200000 < ends""")
+def ttl_sql(ops: dict[str, str]) -> str:
+    """What is left of each key's time: an expire counts where the key exists by then."""
+    made = ", ".join(f"'{x}'" for x in kv.MAKES)
+    return f"""WITH s AS (SELECT *, last_value(CASE WHEN op IN ({made}) THEN 1 WHEN op = 'del' THEN 0 END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq) AS alive FROM {log_sql(ops)}),
+t AS (SELECT key, arg_max(alive, seq) AS alive, coalesce(arg_max(CASE WHEN op = 'expire' OR (op = 'set' AND ttl > 0) THEN ts + ttl * 1000 ELSE -1 END, seq) FILTER (WHERE op IN ('set', 'persist', 'del') OR (op = 'expire' AND alive = 1)), -1) AS ends FROM s GROUP BY 1)
+SELECT key, CAST(CASE WHEN ends = -1 THEN -1 ELSE floor((ends - 1706659200000) / 1000.0) END AS BIGINT) AS ttl FROM t WHERE alive = 1 AND (ends = -1 OR 1706659200000 < ends)"""
+
+
+@query(ttl_sql(TTL_OPS))
 def q_kv_ttl(spark, d):
     return kv.ttl_state(op_log(spark, d, TTL_OPS), F.lit(1706659200000))
 
 
-@query("SELECT user_id AS key, max(event_id) AS touched FROM events GROUP BY 1 QUALIFY row_number() OVER (ORDER BY touched DESC) <= 40")
+@query("SELECT user_id AS key, max(event_id) AS touched FROM events GROUP BY 1 QUALIFY row_number() OVER (PARTITION BY key % 8 ORDER BY touched DESC) <= 5")
 def q_kv_lru(spark, d):
     log = load(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
-    return kv.lru(log, 40, 1).select("key", "touched")
+    return kv.lru(log, 5, shard=F.pmod("key", F.lit(8))).select("key", "touched")
 
 
 @query(f"""WITH l AS (SELECT * FROM {log_sql(STRING_OPS)}), h AS (SELECT key, arg_max(value, seq) AS value FROM l WHERE op IN ('set', 'del') GROUP BY 1 HAVING arg_max(op, seq) = 'set'),
@@ -541,16 +590,261 @@ def event_stream(spark, d) -> DataFrame:
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def q_stream_lww(spark, d):
     rows = event_stream(spark, d).select("user_id", "event_id", "event_type")
-    return streams.run_once(streams.latest(rows, "user_id", "event_id"), "stream_lww")
+    return streams.run_once(streams.latest(rows, "user_id", "event_id"), streams.scratch(spark, "stream_lww"))
 
 
 @query("SELECT user_id AS key, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def q_stream_kv(spark, d):
     rows = event_stream(spark, d).where("event_type = 'purchase'").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"))
-    return streams.run_once(rows, "stream_kv")
+    return streams.run_once(rows, streams.scratch(spark, "stream_kv"))
 
 
 @query("SELECT event_id AS message, event_type AS channel FROM events WHERE event_type IN ('signup', 'error')")
 def q_stream_pubsub(spark, d):
     rows = event_stream(spark, d).select(F.col("event_id").alias("message"), F.col("event_type").alias("channel"))
-    return streams.run_once(streams.channel(rows, "signup", "error"), "stream_pubsub", "append")
+    return streams.run_once(streams.channel(rows, "signup", "error"), streams.scratch(spark, "stream_pubsub"), "append")
+
+
+@query(ttl_sql({"purchase": "incr", "view": "expire", "signup": "persist", "error": "del"}))
+def q_kv_expire_missing(spark, d):
+    return kv.ttl_state(op_log(spark, d, {"purchase": "incr", "view": "expire", "signup": "persist", "error": "del"}), F.lit(1706659200000))
+
+
+DEL_OPS = {"click": "hset", "view": "sadd", "purchase": "zadd", "signup": "rpush", "error": "del"}
+_KEPT = f"(SELECT l.* FROM {log_sql(DEL_OPS)} l LEFT JOIN (SELECT key, max(seq) AS gone FROM {log_sql(DEL_OPS)} WHERE op = 'del' GROUP BY 1) g USING (key) WHERE gone IS NULL OR seq > gone)"
+
+
+@query(f"""SELECT key, 'hash' AS held, count(DISTINCT field) AS n FROM {_KEPT} WHERE op = 'hset' GROUP BY 1 UNION ALL SELECT key, 'set', count(DISTINCT value) FROM {_KEPT} WHERE op = 'sadd' GROUP BY 1
+UNION ALL SELECT key, 'zset', count(DISTINCT value) FROM {_KEPT} WHERE op = 'zadd' GROUP BY 1 UNION ALL SELECT key, 'list', count(*) FROM {_KEPT} WHERE op = 'rpush' GROUP BY 1""")
+def q_kv_del_all(spark, d):
+    log = op_log(spark, d, DEL_OPS)
+    held = {"hash": kv.hashes(log), "set": kv.members(log), "zset": kv.sorted_set(log), "list": kv.replayed_lists(log)}
+    parts = [df.groupBy("key").agg(F.count("*").alias("n")).select("key", F.lit(name).alias("held"), "n") for name, df in held.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"SELECT DISTINCT key FROM {_KEPT} WHERE op <> 'del'")
+def q_kv_exists(spark, d):
+    return kv.exists(op_log(spark, d, DEL_OPS))
+
+
+_KEY = "strlen(CAST(key AS VARCHAR))"
+
+
+@query(f"""WITH b AS (SELECT key, {_KEY} + sum(strlen(field) + strlen(value)) AS n FROM (SELECT key, field, arg_max(value, seq) AS value FROM {_KEPT} WHERE op = 'hset' GROUP BY 1, 2) GROUP BY 1
+UNION ALL SELECT key, {_KEY} + sum(strlen(value)) FROM (SELECT DISTINCT key, value FROM {_KEPT} WHERE op = 'sadd') GROUP BY 1
+UNION ALL SELECT key, {_KEY} + sum(strlen(value) + 8) FROM (SELECT DISTINCT key, value FROM {_KEPT} WHERE op = 'zadd') GROUP BY 1
+UNION ALL SELECT key, {_KEY} + sum(strlen(value)) FROM {_KEPT} WHERE op = 'rpush' GROUP BY 1) SELECT key, CAST(sum(n) AS BIGINT) AS mem_bytes FROM b GROUP BY 1""")
+def q_kv_bytes(spark, d):
+    return kv.footprint(op_log(spark, d, DEL_OPS))
+
+
+POP_OPS = {"click": "rpush", "view": "lpop", "purchase": "rpush"}
+
+
+@query(f"""WITH w AS (SELECT *, sum(CASE WHEN op = 'rpush' THEN 1 ELSE -1 END) OVER (PARTITION BY key ORDER BY seq) AS s FROM {log_sql(POP_OPS)}),
+n AS (SELECT key, arg_max(s, seq) - least(0, min(s)) AS n FROM w GROUP BY 1),
+p AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS back FROM w WHERE op = 'rpush') SELECT key, value, CAST(n - back AS BIGINT) AS pos FROM p JOIN n USING (key) WHERE back <= n""")
+def q_kv_pop(spark, d):
+    return kv.replayed_lists(op_log(spark, d, POP_OPS))
+
+
+grouped("grp_limit", [{"$group": {"_id": "$user_id", "n": {"$count": {}}}}, {"$skip": 2}, {"$limit": 7}], "SELECT user_id AS _id, count(*) AS n FROM events GROUP BY 1 ORDER BY CAST(user_id AS VARCHAR) LIMIT 7 OFFSET 2", "events", "event_id")
+grouped("agg_limit_natural", [{"$match": {"o_orderstatus": "F"}}, {"$skip": 3}, {"$limit": 9}, {"$project": {"o_orderkey": 1}}], "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY 1 LIMIT 9 OFFSET 3", "orders", "o_orderkey")
+
+
+@query("SELECT * FROM (VALUES ('SELECT', 1), ('INSERT', 2), ('UPDATE', 4), ('DELETE', 8), ('CREATE', 16), ('DROP', 32), ('ALTER', 64), ('INDEX', 128), ('TRUNCATE', 256), ('REFERENCES', 512), ('TRIGGER', 1024), ('EXECUTE', 2048), ('USAGE', 4096), ('CREATE_TEMP', 8192), ('CONNECT', 16384), ('ALL', 4294967295)) t(name, bits)")
+def q_priv_bits(spark, d):
+    return spark.createDataFrame(list(policy.PRIVILEGES.items()), "name string, bits long")
+
+
+@query("SELECT unnest(['superuser', 'db_admin', 'user_admin', 'read_write', 'read_only', 'public']) AS role")
+def q_system_roles(spark, d):
+    return spark.createDataFrame([(r,) for r in policy.SYSTEM_ROLES], "role string")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase')), r AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a),
+n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS n FROM r WHERE NOT ok) SELECT user_id, min(event_id) AS locked_at FROM n WHERE n = 5 GROUP BY 1""")
+def q_auth_lockout(spark, d):
+    rows = load(spark, d, "events").where("event_type IN ('error', 'purchase')").withColumn("ok", F.col("event_type") == "purchase")
+    return policy.locked_out(rows, "user_id", "event_id", "ok")
+
+
+ORDERED = [policy.Policy("big", using="o_totalprice >= 100000")]
+SEGMENTS = [policy.Policy("some", using="c_mktsegment IN ('BUILDING', 'MACHINERY')")]
+
+
+def guarded(spark, d) -> tuple[policy.Guard, dict[str, DataFrame]]:
+    permissions = [{"role": "clerk", "target": {"type": "collection", "name": ""}, "privileges": policy.grant(0, "SELECT", "INSERT")}]
+    return policy.Guard({"clerk"}, permissions, {"orders": ORDERED, "customer": SEGMENTS}), {n: load(spark, d, n) for n in ("orders", "customer")}
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 100000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def q_rls_lookup(spark, d):
+    guard, tables = guarded(spark, d)
+    stages = [{"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "c"}}, {"$unwind": "$c"}, {"$project": {"o_orderkey": 1, "c_name": "$c.c_name"}}]
+    return guard.aggregate("orders", stages, tables, order="o_orderkey")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_totalprice >= 100000")
+def q_rls_count(spark, d):
+    guard, tables = guarded(spark, d)
+    return guard.rows(tables["orders"], "orders").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice < 1000 OR o_orderstatus = 'O'")
+def q_rls_check(spark, d):
+    rules = [policy.Policy("cheap", "INSERT", check="o_totalprice < 1000", using="o_totalprice < 5"), policy.Policy("open", using="o_orderstatus = 'O'")]
+    return policy.secure(load(spark, d, "orders"), rules, "INSERT", check=True).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
+def q_point_get(spark, d):
+    return get(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 7)
+
+
+@query(f"SELECT event_id AS _id, value FROM events WHERE event_id = 14 AND event_id % 13 <> 0 AND (event_id % 7 = 0 OR 1704672000000 <= {EVENT_MS} + event_id % 7 * 86400000)")
+def q_document_get(spark, d):
+    return get_document(enveloped(spark, d), 14, 1704672000000).select("_id", "value")
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_id % 13 <> 0 AND value > 20")
+def q_count_live(spark, d):
+    return match(live(enveloped(spark, d)), {"value": {"$gt": 20}}).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS _id, p_partkey % 3 = 0 AS _tombstone, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS p_name, CASE WHEN p_partkey % 3 = 0 THEN 'f' ELSE '0' END AS _hlc FROM part")
+def q_delete_tombstone(spark, d):
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("_id"), F.lit("0").alias("_hlc"), F.lit(False).alias("_tombstone"), F.lit(0).alias("updated_at"), "p_name")
+    return updates.delete(rows, rows.where("_id % 3 = 0").select("_id"), True, "f", 9).select("_id", "_tombstone", "p_name", "_hlc")
+
+
+@query("SELECT p_partkey AS _id, p_name FROM part WHERE p_partkey % 3 <> 0")
+def q_delete_hard(spark, d):
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("_id"), "p_name")
+    return updates.delete(rows, rows.where("_id % 3 = 0").select("_id"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT -1 - vec_id, -1 FROM embeddings WHERE vec_id % 4 = 0")
+def q_vec_upsert(spark, d):
+    rows = load(spark, d, "embeddings")
+    new = rows.where("vec_id % 4 = 0").withColumn("label", F.lit(-1))
+    new = new.unionByName(new.withColumn("vec_id", -1 - F.col("vec_id")))
+    return vectors.upsert(rows, new).select("vec_id", "label")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0")
+def q_vec_remove(spark, d):
+    rows = load(spark, d, "embeddings")
+    return vectors.remove(rows, rows.where("vec_id % 5 = 0")).select("vec_id", "label")
+
+
+def counted(spark, d) -> DataFrame:
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("name"), F.lit(1.0).alias("n"), F.lit(3).alias("version"), F.lit(0).alias("updated_at"))
+
+
+@query("SELECT c_custkey AS _id, CAST(CASE c_custkey WHEN 5 THEN 12 ELSE 1 END AS DOUBLE) AS n, CASE c_custkey WHEN 5 THEN 4 ELSE 3 END AS version FROM customer WHERE c_custkey <> 6 UNION ALL SELECT -1, CAST(7 AS DOUBLE), 1")
+def q_txn_inc_twice(spark, d):
+    ops = [{"op": "update", "id": 5, "update": {"$inc": {"n": 5}}, "expected_version": 3}, {"op": "update", "id": 5, "update": {"$mul": {"n": 2}}}, {"op": "remove", "id": 6}, {"op": "insert", "id": -1, "doc": {"name": "new", "n": 2.0}}, {"op": "update", "id": -1, "update": {"$inc": {"n": 5}}}]
+    return txn.run(counted(spark, d), ops, 9)[0].select("_id", "n", "version")
+
+
+@query("SELECT * FROM (VALUES ('stale version', 'CONFLICT'), ('version of an insert', 'CONFLICT'), ('stale read', 'CONFLICT'), ('read of a row since made', 'CONFLICT'), ('insert twice', 'DUPLICATE'), ('update of none', 'NOT_FOUND'), ('remove, then insert', 'COMMITTED'), ('same name', 'DUPLICATE'), ('fresh read', 'COMMITTED'), ('refused', 'FORBIDDEN')) t(what, status)")
+def q_txn_conflict(spark, d):
+    base = counted(spark, d)
+    up = lambda i, v=0, name="x": {"op": "update", "id": i, "update": {"$set": {"name": name}}, "expected_version": v}
+    new = lambda i, name="y": {"op": "insert", "id": i, "doc": {"name": name, "n": 0.0}}
+    known = base.where("_id = 2").first()["name"]
+    cases = {
+        "stale version": ([up(1, 2)], {}), "version of an insert": ([new(-1), up(-1, 1)], {}), "stale read": ([up(1)], {"reads": {2: 1}}), "read of a row since made": ([up(1)], {"reads": {2: 0}}),
+        "insert twice": ([new(-1), new(-1)], {}), "update of none": ([up(-5)], {}), "remove, then insert": ([{"op": "remove", "id": 1}, new(1)], {}), "same name": ([up(1, 3, known)], {"unique": ["name"]}),
+        "fresh read": ([up(1)], {"reads": {2: 3, -7: 0}}), "refused": ([up(1)], {"allowed": lambda op, rows: not rows.where("_id > 0").isEmpty() and op["op"] != "update"}),
+    }
+    return spark.createDataFrame([(what, txn.run(base, ops, 9, **more)[1]) for what, (ops, more) in cases.items()], "what string, status string")
+
+
+@query("SELECT 5 AS _id, CAST(2 AS DOUBLE) AS n, 'seen' AS name")
+def q_txn_read_own(spark, d):
+    ops = [{"op": "update", "id": 5, "update": {"$set": {"name": "seen"}}}, {"op": "update", "id": 5, "update": {"$inc": {"n": 1}}}]
+    return get(txn.replay(counted(spark, d), ops), "_id", 5).select("_id", "n", "name")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS inserted, list(-c_custkey ORDER BY -c_custkey) AS ids FROM customer WHERE c_custkey BETWEEN 1 AND 40")
+def q_bulk_insert(spark, d):
+    held = load(spark, d, "customer").select(F.col("c_custkey").alias("_id"), "c_name")
+    fresh = held.where("_id BETWEEN 1 AND 40").select((-F.col("_id")).alias("_id"), F.concat(F.lit("new "), "c_name").alias("c_name"))
+    again = held.where("_id BETWEEN 1 AND 40").select((F.col("_id") * -100).alias("_id"), "c_name")  # a name that is taken
+    large = held.where("_id = 1").select(F.lit(-999999).cast("long").alias("_id"), F.repeat(F.lit("x"), F.lit(5000)).alias("c_name"))
+    return txn.inserted(txn.insert_many(held, fresh.unionByName(fresh).unionByName(again).unionByName(large).unionByName(held.where("_id < 9")), unique=["c_name"], most_bytes=1000)[1])
+
+
+@query("SELECT doc_id, coalesce(list(k ORDER BY k) FILTER (WHERE k IS NOT NULL), []) AS ks FROM (SELECT d.doc_id, r.r_regionkey AS k FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN region r ON r.r_regionkey = l.quality AND r.r_regionkey <> 0) GROUP BY 1")
+def q_lookup_null_keys(spark, d):
+    local = labelled(spark, d).select("doc_id", "quality")
+    foreign = load(spark, d, "region").select(F.when(F.col("r_regionkey") != 0, F.col("r_regionkey")).alias("k"))
+    out = aggregate(local, [{"$lookup": {"from": "region", "localField": "quality", "foreignField": "k", "as": "rs"}}], {"region": foreign}, order="doc_id")
+    return out.select("doc_id", F.transform("rs", lambda r: r["k"]).alias("ks"))
+
+
+@query("SELECT CAST(status // 100 AS INTEGER) AS status_class, count(*) AS requests FROM (SELECT 200 + event_id % 4 * 101 AS status FROM events) GROUP BY 1")
+def q_obs_status_class(spark, d):
+    return observe.status_classes(load(spark, d, "events").withColumn("status", 200 + F.col("event_id") % 4 * 101))
+
+
+@query("SELECT 'requests_total{kind=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
+def q_metrics_text(spark, d):
+    rows = load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).select(F.col("event_type").alias("kind"), "n")
+    return observe.exposition(rows, "requests_total", "n", "kind")
+
+
+@query(f"SELECT event_id AS _id, value, CAST(77 AS BIGINT) AS lsn FROM events WHERE event_id % 13 <> 0 AND (event_id % 7 = 0 OR 1704672000000 <= {EVENT_MS} + event_id % 7 * 86400000)")
+def q_snapshot(spark, d):
+    return snapshot(enveloped(spark, d), 77, 1704672000000).select("_id", "value", "lsn")
+
+
+@query(f"SELECT max(_hlc) AS max_hlc FROM (SELECT {CLOCK} AS _hlc FROM events WHERE {CLOCK} > '018cd000000000000' ORDER BY 1, user_id LIMIT 1024)")
+def q_changes_max_hlc(spark, d):
+    return hlc.latest_change(clocked(spark, d), "018cd000000000000")
+
+
+@query("SELECT c_nationkey, c_mktsegment, c_custkey FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
+def q_composite_prefix(spark, d):
+    path = streams.scratch(spark, "indexed")
+    write_indexed(load(spark, d, "customer"), path, ["c_nationkey", "c_mktsegment", "c_custkey"], ["c_custkey"], 4)
+    found = match(spark.read.parquet(path), {"c_nationkey": 3, "c_mktsegment": "BUILDING"}).select("c_nationkey", "c_mktsegment", "c_custkey")
+    if not uses_index(found, "c_nationkey", "c_mktsegment"):
+        raise AssertionError("the prefix is not pushed down")
+    return found
+
+
+@query("SELECT c_custkey AS _id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'kept' END AS name FROM customer")
+def q_backup_restore(spark, d):
+    rows = load(spark, d, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "b").otherwise("a").alias("_hlc"))
+    path = streams.scratch(spark, "backup")
+    backup(rows, path, "_id", 5, 6)
+    held = rows.select("_id", F.lit("kept").alias("name"), F.lit("aa").alias("_hlc"))
+    return restore_into(held, path, "_id long, name string, _hlc string")[0].select("_id", "name")
+
+
+@query("SELECT event_id, event_type AS msg, CASE WHEN event_type = 'error' THEN 'audit' ELSE 'main' END AS channel FROM events")
+def q_log_channels(spark, d):
+    path, rows = streams.scratch(spark, "logs"), load(spark, d, "events").select("event_id", F.col("event_type").alias("msg"))
+    write_log(rows.where("msg <> 'error'"), path)
+    write_log(rows.where("msg = 'error'"), path, "audit")
+    return streams.run_once(streams.tail(spark, path, "event_id long, msg string, channel string", "json"), streams.scratch(spark, "log_tail"), "append")
+
+
+@query("SELECT 'default' AS database, 'public' AS schema, 'region' AS name, count(*) AS document_count FROM region UNION ALL SELECT 'default', 'sales', 'orders', count(*) FROM orders")
+def q_list_collections(spark, d):
+    names = Catalog()
+    names.create("region", load(spark, d, "region"))
+    names.create("orders", load(spark, d, "orders"), "sales")
+    names.create("gone", load(spark, d, "nation"))
+    names.drop("gone")
+    return names.listing(spark)
+
+
+@query("SELECT true AS late, false AS in_time")
+def q_feed_gap(spark, d):
+    log = load(spark, d, "events").select(F.col("event_id").alias("lsn")).where("lsn >= 100")
+    return spark.createDataFrame([(has_gap(log, 50), has_gap(log, 99))], "late boolean, in_time boolean")

@@ -6,6 +6,9 @@ $lookup followed by a match on an empty (or not empty) result becomes an anti (o
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +32,7 @@ def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFram
     meaning; otherwise non-numbers add one to a $sum and count in an $avg, and the first value seeds $min and $max.
     """
     state = [order] if isinstance(order, str) else list(order or ([c for c in ("_id",) if c in df.columns]))
+    grouped = ordered = False
     k = 0
     while k < len(stages):
         name = next((s for s in STAGES if s in stages[k]), None) if isinstance(stages[k], dict) else None
@@ -41,13 +45,13 @@ def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFram
         if name == "$match":
             df = match(df, spec)
         elif name == "$group":
-            df, state = group(df, spec, state, lenient, compat), ["_id"]
+            df, state, grouped, ordered = group(df, spec, state, lenient, compat), ["_id"], True, False
         elif name == "$sort":
-            df = df.orderBy(*order_of(df, spec, None), *(F.col(c) for c in state if c in df.columns))
-        elif name == "$limit":
-            df = df.limit(int(spec))
-        elif name == "$skip":
-            df = df.offset(int(spec))
+            df, ordered = df.orderBy(*order_of(df, spec, None), *natural(df, state, grouped)), True
+        elif name in ("$limit", "$skip"):
+            by = natural(df, state, grouped)
+            df, ordered = df if ordered or not by else df.orderBy(*by), True
+            df = df.limit(int(spec)) if name == "$limit" else df.offset(int(spec))
         elif name == "$project":
             df = project_stage(df, spec)
         elif name == "$unwind":
@@ -64,6 +68,17 @@ def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFram
     return df
 
 
+def natural(df: DataFrame, state: list[str], grouped: bool) -> list[Column]:
+    """Order of rows that nobody has sorted: that of their keys; of groups, that of their keys as they are written in JSON."""
+    if not grouped:
+        return [F.col(c).asc_nulls_first() for c in state if c in df.columns]
+    if "_id" not in df.columns:
+        return []
+    kind = df.schema["_id"].dataType
+    text = F.concat(F.lit('"'), "_id", F.lit('"')) if isinstance(kind, T.StringType) else F.col("_id").cast("string") if not isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.to_json("_id")
+    return [F.coalesce(text, F.lit("null"))]
+
+
 def argument(df: DataFrame, arg: object) -> tuple[Column, T.DataType]:
     if isinstance(arg, str) and arg.startswith("$"):
         return path(df.schema, arg[1:])
@@ -195,6 +210,16 @@ def lookup(df: DataFrame, spec: dict, foreign: DataFrame) -> DataFrame:
     return out.drop("_row", "_found")
 
 
+def unused(name: str, later: list[dict]) -> bool:
+    """Whether no later stage reads or returns the field, so that nobody sees what it holds."""
+    for stage in later:
+        if re.search(r'"\$?' + re.escape(name) + r'[".]', json.dumps(stage, default=str)):
+            return False
+        if "$group" in stage or any(v == 1 or (isinstance(v, str) and v.startswith("$")) for v in stage.get("$project", {}).values()):
+            return True
+    return False
+
+
 def lookup_rewritten(df: DataFrame, spec: dict, foreign: DataFrame, later: list[dict]) -> tuple[DataFrame, int]:
     """The lookup, joined at once with the stage after it where that stage allows it; how many stages that took."""
     name, after = spec["as"], later[0] if later else {}
@@ -209,7 +234,7 @@ def lookup_rewritten(df: DataFrame, spec: dict, foreign: DataFrame, later: list[
             return df.drop(name).withColumn("_lk", c).join(right, F.col("_lk") == F.col("_fk"), "left" if keep else "inner").drop("_lk", "_fk"), 1
     if plain and after.get("$match") in ({name: []}, {name: {"$eq": []}}, {name: {"$ne": []}}):
         want = "left_semi" if after["$match"] == {name: {"$ne": []}} else "left_anti"
-        if want == "left_anti":
+        if want == "left_anti" or unused(name, later[1:]):
             right = foreign.select(f.alias("_fk"))
             out = df.drop(name).withColumn("_lk", c).join(right, F.col("_lk") == F.col("_fk"), want).drop("_lk")
             return out.withColumn(name, F.array().cast(T.ArrayType(foreign.schema))), 1

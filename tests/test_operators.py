@@ -133,7 +133,10 @@ def test_backup_round_trip_and_stream_equals_batch(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     stream = streams.tail(spark, str(tmp_path / "in"), "k long, v string, seq int")
     streams.upsert_into(stream, str(tmp_path / "out"), "k", "seq", str(tmp_path / "ck")).awaitTermination()
-    assert sorted(rows(spark.read.parquet(str(tmp_path / "out" / "v0")))) == sorted(rows(streams.latest(df, "k", "seq")))
+    assert sorted(rows(streams.upserted(spark, str(tmp_path / "out")).select("k", "v", "seq"))) == sorted(rows(streams.latest(df, "k", "seq")))
+    df.where("v = 'b'").withColumn("seq", F.lit(9)).write.mode("append").parquet(str(tmp_path / "in"))  # a second batch touches one bucket
+    streams.upsert_into(stream, str(tmp_path / "out"), "k", "seq", str(tmp_path / "ck")).awaitTermination()
+    assert sorted(rows(streams.upserted(spark, str(tmp_path / "out")).select("k", "v", "seq"))) == [(1, "c", 2), (2, "b", 9)]
     names = catalog.Catalog()
     names.create("t", df)
     assert names.collections() == [("default", "public", "t")] and names.databases() == {"default": 1}
@@ -147,3 +150,53 @@ def test_search_many_goes_through_queries_in_blocks(spark):
     got = {(r.query_id, r.vec_id) for r in vectors.search_many(df, asked, 3, "dot", most=5).collect()}
     best = lambda q: sorted((-sum(x * y for x, y in zip(q, v)), i) for i, v in rows)[:3]
     assert got == {(i, j) for i, q in rows if i % 100 == 0 for _, j in best(q)}
+
+
+def test_routes_are_those_of_the_formula(spark):
+    mask = (1 << 64) - 1
+
+    def place(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 & mask
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    shards = ["s0", "s1", "s2"]
+    spots = sorted((place(f"{s}#{v}"), s) for s in shards for v in range(256))
+    owner = lambda k: next((s for p, s in spots if p >= place(k)), spots[0][1])
+    keys = [f"item-{i}" for i in range(300)] + ["", "é", "a" * 200]
+    ring = routing.Ring([*shards, ""])
+    assert [ring.owner(k) for k in keys] == [owner(k) for k in keys]
+    assert len(routing.Ring(["a"], 3).points) == routing.LEAST_VNODES
+    with pytest.raises(ValueError):
+        routing.Ring([])
+
+
+def test_guards_refuse_and_registries_keep_their_dimension(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ann"), (2, "bob")], "_id long, owner string")
+    mine = policy.Guard({"u"}, [{"role": "u", "target": {"type": "collection", "name": "t"}, "privileges": policy.grant(0, "SELECT", "INSERT")}], {"t": [policy.Policy("mine", using="owner = current_user")]}, "ann")
+    assert rows(mine.rows(df, "t")) == [(1, "ann")] and mine.written(df.where("_id = 1"), "t").count() == 1
+    for call in (lambda: mine.rows(df, "t", "DELETE"), lambda: mine.rows(df, "other"), lambda: mine.written(df, "t")):
+        with pytest.raises(PermissionError):
+            call()
+    held = vectors.Registry()
+    name, v = ("d", "s", "c"), spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    held.insert(name, v)
+    assert held.insert(name, v.where("vec_id = 2").withColumn("vec_id", F.lit(3).cast("long"))).count() == 3
+    with pytest.raises(ValueError):
+        held.insert(name, spark.createDataFrame([(4, [1.0])], v.schema))
+    held.save(name, str(tmp_path / "v"))
+    assert vectors.Registry().load(spark, name, str(tmp_path / "v")).count() == 3
+
+
+def test_lists_replay_pops_between_pushes(spark):
+    ops = [(1, "k", "rpush", "a"), (2, "k", "lpop", None), (3, "k", "lpop", None), (4, "k", "lpush", "b"), (5, "k", "rpush", "c"), (6, "k", "rpop", None), (7, "j", "rpush", "d"), (8, "j", "del", None), (9, "j", "lpush", "e")]
+    log = spark.createDataFrame(ops, "seq long, key string, op string, value string")
+    assert rows(kv.replayed_lists(log), "key") == [("j", 0, "e"), ("k", 0, "b")]
+
+
+def test_lru_keeps_within_bytes(spark):
+    log = spark.createDataFrame([(1, "a", 10), (2, "b", 10), (3, "c", 10), (4, "a", 15)], "seq long, key string, mem_bytes long")
+    assert rows(kv.lru(log, 9, most_bytes=25, shard=F.lit(0)).select("key"), "key") == [("a",), ("c",)]
