@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from contextlib import contextmanager
 
 import numpy as np
@@ -24,9 +27,10 @@ def prepare(spark: SparkSession) -> None:
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() is not None:
         return
-    if not context.master.startswith("local[") and context.master != "local":
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"  # one machine: any folder is shared
+    folder = tempfile.mkdtemp(prefix="larkspur-")  # one machine only, as in tests
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
 
 
