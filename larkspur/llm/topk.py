@@ -2,7 +2,8 @@
 
 Vectors lie in vertical layout, one row of the matrix a dimension. Inner products accumulate a block of dimensions
 at a time; after a block, the mass that is left in the other dimensions bounds what a pair can still gain, and the
-pairs that can no longer reach the query's running k-th best are compacted away.
+pairs that can no longer reach the query's running k-th best are compacted away. Queries and candidates are dealt into
+blocks, and every block of queries meets every block of candidates in a task of its own.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, load, prepare
+from larkspur.llm.common import load, prepare
 
-K, EVERY, BLOCK, QUERY_BLOCK, SCALE = 5, 50, 16, 4096, 256.0
+K, EVERY, BLOCK, QUERY_BLOCK, VECTOR_BLOCK, SCALE = 5, 50, 16, 4096, 65536, 256.0
+#: Candidates that are offered to all queries of a block at once.
+CHUNK = 512
 
 
 def quantised(vec_ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -85,43 +88,51 @@ class Search:
         self.vec[at + all_q[keep], rank[keep]] = all_vec[keep]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
+def meet(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """query_id, vec_id, score of the k best of these candidates for each of these queries, all of one dimension."""
+    most = max(np.abs(held[1]).max(initial=0), np.abs(rows).max(initial=0))
+    if most**2 * max(rows.shape[1], 1) >= 2**52:
+        return list(wide(held, ids, rows, k))
+    s = Search(*held, k)
+    for at in range(0, len(ids), CHUNK):  # bounds rise from chunk to chunk
+        s.offer(ids[at : at + CHUNK], rows[at : at + CHUNK])
+    q, r = np.nonzero(np.isfinite(s.score))
+    return [(s.ids[q], s.vec[q, r], s.score[q, r].astype(np.int64))]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k best rows of vectors, itself left out, ties to the smaller id.
 
-    Both tables need vec_id and embedding. Queries go in blocks of `block` rows, each held against all vectors; a
-    block is what is broadcast, so its size is bounded. Vectors that are null, or hold null or non-finite components,
-    take no part, nor do rows without an id; vectors meet only vectors of their own dimension. As in the SQL of op6, rows
-    that repeat an id are a candidate each, and each row of a query id asks, so the id's k best are over all of
-    them and may hold equal entries. Empty tables give no rows.
+    Both tables need vec_id and embedding. They are counted and dealt into blocks of about `block` and `vector_block`
+    rows, whatever their ids; each side is shuffled, once for every block of the other, and nothing is broadcast or
+    collected. Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id;
+    vectors meet only vectors of their own dimension. As in the SQL of op6, rows that repeat an id are a candidate
+    each, and each row of a query id asks, so the id's k best are over all of them and may hold equal entries. Empty
+    tables give no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = cut(pick(queries).where("vec_id IS NOT NULL").withColumn("copy", F.monotonically_increasing_id()))
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("copy"), F.lit(blocks)))  # copies of an id go to blocks of their own
-    found = None
-    for b in range(blocks):
-        rows = asked.where(F.col("block") == b).select("vec_id", "embedding").collect()  # a block
-        held = spark.sparkContext.broadcast(quantised([r[0] for r in rows], [r[1] for r in rows]))
-        large = any(np.abs(v).max(initial=0) ** 2 * max(d, 1) >= 2**52 for d, (_, v) in held.value.items())
-
-        def run(batches, held=held, large=large):
-            searches = {d: Search(ids, rows, k) for d, (ids, rows) in held.value.items()}
-            for batch in batches:
-                for d, (ids, rows) in quantised(batch.column(0).to_pylist(), batch.column(1).to_pylist()).items():
-                    if d not in searches:
-                        continue
-                    if large or np.abs(rows).max(initial=0) ** 2 * max(d, 1) >= 2**52:
-                        yield from wide(held.value[d], ids, rows, k)
-                    else:
-                        searches[d].offer(ids, rows)
-            for s in searches.values():
-                q, r = np.nonzero(np.isfinite(s.score))
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids[q]), pa.array(s.vec[q, r]), pa.array(s.score[q, r].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-        part = pick(vectors).mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+
+    def dealt(df: DataFrame, rows: int, least: int, own: str) -> tuple[DataFrame, int]:
+        df = df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        n = max(least, -(-df.count() // rows))
+        return df.withColumn(own, F.pmod(F.xxhash64(F.col("vec_id"), F.col("embedding")), F.lit(n)).cast("int")), n
+
+    asked, blocks = dealt(queries, block, 1, "block")
+    known, parts = dealt(vectors, vector_block, spark.sparkContext.defaultParallelism, "part")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    known = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        there = quantised(left["vec_id"].to_pylist(), left["embedding"].to_pylist())
+        found = []
+        for d, (ids, rows) in quantised(right["vec_id"].to_pylist(), right["embedding"].to_pylist()).items():
+            if d in there:
+                found += meet(there[d], ids, rows, k)
+        return pa.Table.from_arrays([pa.array(np.concatenate([np.asarray(x[c], np.int64) for x in found]) if found else [], pa.int64()) for c in range(3)], schema=schema)
+
+    found = asked.groupBy("block", "part").cogroup(known.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -132,7 +143,7 @@ def wide(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, rows: np.ndarray,
         scores = exact_product(np.broadcast_to(q, rows.shape), rows)
         best = sorted((-s, int(i)) for s, i in zip(scores, ids, strict=True) if i != qid)[:k]
         if best:
-            yield pa.RecordBatch.from_arrays([pa.array([int(qid)] * len(best)), pa.array([i for _, i in best]), pa.array([-s for s, _ in best])], ["query_id", "vec_id", "score"])
+            yield np.full(len(best), qid), np.array([i for _, i in best]), np.array([-s for s, _ in best])
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
