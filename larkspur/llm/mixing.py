@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cut, fresh, load, prepare, sized_broadcast
 
 ENTROPY_SHARE, MAX_REPEATS, BLOCK_TOKENS = 0.95, 4.0, 100_000
+#: Blocks of a super-block, over which their sums are added up first.
+SUPER = 10_000
 
 
 def weights_at(tokens: dict[str, int], exponent: float) -> dict[str, float]:
@@ -98,13 +100,17 @@ def mix(docs: DataFrame, budget: float | None = None, entropy_share: float | Non
         passes = math.floor(want / t + 1e-9) if t else 1
         plan.append((s, passes, max(0.0, want - passes * t), max(1, math.ceil(t / block_tokens)), shares.get(s, 0.0)))
     spark = docs.sparkSession
-    goal = F.broadcast(spark.createDataFrame(plan, f"`{name}` string, _passes long, _rest double, _blocks long, `{weight}` double"))  # one row a source
+    goal = sized_broadcast(spark.createDataFrame(plan, f"`{name}` string, _passes long, _rest double, _blocks long, `{weight}` double"))  # one row a source
     rows = keyed.join(goal, name, "left").withColumn("_u", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.length("text")))
     rows = rows.withColumn(block, F.pmod(F.xxhash64(F.lit(seed + 1), "_u"), F.col("_blocks")))
     slim = cut(rows.select(name, block, "_u", n, "_rest").groupBy(name, block, "_u", "_rest").agg(F.sum(n).alias("t")))
     sums = slim.groupBy(name, block, "_rest").agg(F.sum("t").alias("_all"))  # a row a block
-    before = F.sum("_all").over(Window.partitionBy(name).orderBy(block)) - F.col("_all")
-    sums = cut(sums.withColumn("_left", F.col("_rest") - before).drop("_rest").where(F.col("_left") > 0))
+    sums = cut(sums.withColumn("_super", F.floor(F.col(block) / SUPER)))
+    supers = sums.groupBy(name, "_super").agg(F.sum("_all").alias("_own"))  # prefix sums on two levels, so that no task has all blocks of a source
+    supers = supers.select(name, "_super", (F.sum("_own").over(Window.partitionBy(name).orderBy("_super")) - F.col("_own")).alias("_base"))
+    within = F.sum("_all").over(Window.partitionBy(name, "_super").orderBy(block)) - F.col("_all")
+    sums = sums.join(supers, [name, "_super"]).withColumn("_left", F.col("_rest") - F.col("_base") - within)
+    sums = cut(sums.drop("_rest", "_base", "_super").where(F.col("_left") > 0))
     whole = sums.where(F.col("_all") <= F.col("_left")).select(name, block, F.lit(True).alias("_in"))
     ending = sums.where(F.col("_all") > F.col("_left"))  # at most one block a source
     run = F.sum("t").over(Window.partitionBy(name, block).orderBy("_u"))
