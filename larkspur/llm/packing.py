@@ -11,6 +11,7 @@ import base64
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ SPECIAL = "<|endoftext|>"
 def encoder(vocabulary: str):
     """The byte-level BPE of byte_bpe_50k.json through its rank table, which gives the same ids about three times as fast.
 
-    tests/llm/test_packing.py holds the ids against the `tokenizers` library.
+    tests/llm/test_llm_operators.py holds the ids against the `tokenizers` library.
     """
     import public_tokenizers
     import tiktoken
@@ -47,6 +48,66 @@ def token_ids(text: str | None, vocabulary: str = "byte_bpe_50k.tiktoken") -> li
     return e.encode(text, allowed_special={SPECIAL}, disallowed_special=()) if SPECIAL in text else e.encode_ordinary(text)
 
 
+class Sums:
+    """Index of the lengths in stock by the sums of one, two and three of them.
+
+    Pairs are filed under their sums once. Stock only runs out, so what is found spent at the front of a sum's file is
+    passed over for good, and the index stays current. A triple is a longest part with a pair filed under what is left.
+    """
+
+    def __init__(self, stock: Counter[int], capacity: int):
+        self.stock = stock
+        lengths = np.array(sorted((n for n in stock if n < capacity), reverse=True), dtype=np.int64)
+        a, b = np.triu_indices(len(lengths))
+        a, b = lengths[a], lengths[b]
+        fits = a + b <= capacity
+        a, b = a[fits], b[fits]
+        order = np.argsort(a + b, kind="stable")  # of equal sums, the pair with the longest part first
+        self.a, self.b = a[order], b[order]
+        starts = np.searchsorted((self.a + self.b), np.arange(capacity + 2))
+        self.next, self.stop = starts[:-1].copy(), starts[1:]
+        self.lengths, self.longest = lengths.tolist(), {}
+
+    def have(self, *parts: int) -> bool:
+        return all(self.stock.get(n, 0) >= k for n, k in Counter(parts).items())
+
+    def pairs(self, total: int):
+        """Pairs in stock that add up to total."""
+        while self.next[total] < self.stop[total] and not self.have(int(self.a[self.next[total]]), int(self.b[self.next[total]])):
+            self.next[total] += 1
+        for at in range(self.next[total], self.stop[total]):
+            pair = int(self.a[at]), int(self.b[at])
+            if self.have(*pair):
+                yield pair
+
+    def triples(self, total: int):
+        """Triples in stock that add up to total, each once, its longest part first."""
+        at = self.longest.get(total, 0)
+        front = True
+        while at < len(self.lengths) and 3 * self.lengths[at] >= total:
+            a, live = self.lengths[at], False
+            if a < total and self.stock.get(a):
+                for b, c in self.pairs(total - a):
+                    live = True
+                    if b <= a and self.have(a, b, c):
+                        yield a, b, c
+            at += 1
+            front = front and not live
+            if front:
+                self.longest[total] = at
+
+    def filling(self, head: int, gap: int) -> tuple[int, ...] | None:
+        """head and what fills the gap beside it exactly: nothing, one length, two or three."""
+        if gap == 0:
+            return (head,)
+        if self.have(head, gap):
+            return (head, gap)
+        for parts in chain(self.pairs(gap), self.triples(gap)):
+            if self.have(head, *parts):
+                return (head, *parts)
+        return None
+
+
 def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, number of such sequences) that use up every piece of the histogram.
 
@@ -66,32 +127,9 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[
                 del left[n]
         out.append((parts, times))
 
-    def have(*parts: int) -> bool:
-        return all(left.get(n, 0) >= k for n, k in Counter(parts).items())
-
-    def exact(head: int) -> tuple[int, ...] | None:
-        gap = capacity - head
-        if gap == 0:
-            return (head,)
-        if have(head, gap):
-            return (head, gap)
-        live = np.array(sorted(left), dtype=np.int64)
-        on = np.zeros(capacity + 1, dtype=bool)
-        on[live] = True
-        firsts = live[(live <= gap) & (2 * live >= gap)][::-1]
-        for a in firsts[on[gap - firsts]]:
-            if have(head, int(a), int(gap - a)):
-                return (head, int(a), int(gap - a))
-        for a in live[(live < gap) & (3 * live >= gap)][::-1]:
-            rest = gap - int(a)
-            seconds = live[(live <= min(rest, a)) & (2 * live >= rest)][::-1]
-            for b in seconds[on[rest - seconds]]:
-                if have(head, int(a), int(b), int(rest - b)):
-                    return (head, int(a), int(b), int(rest - b))
-        return None
-
+    sums = Sums(left, capacity)
     for head in sorted(left, reverse=True):
-        while left.get(head) and (parts := exact(head)):
+        while left.get(head) and (parts := sums.filling(head, capacity - head)):
             spend(parts)
     while left:
         parts, gap = [head := max(left)], capacity - head
