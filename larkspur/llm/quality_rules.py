@@ -1,8 +1,9 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by minimum covariance determinant.
 
-Each (lang, source) group gets its own centre and scatter. The estimate is the deterministic form of the method:
-start from coordinatewise medians and spreads, then concentration steps that keep the `SHARE` of rows with the
-smallest Mahalanobis distance, then one reweighting step. A step never gathers a group: rows are summed into
+Each (lang, source) group gets its own centre and scatter. The estimate is the deterministic form of the method, from
+two starts: coordinatewise medians and spreads, and the scatter of the directions in which rows lie from the medians.
+Concentration steps keep the `SHARE` of rows with the smallest Mahalanobis distance until no determinant falls any
+more; the start with the smaller determinant is taken, and one reweighting step follows. A step never gathers a group: rows are summed into
 (group, distance bucket) moments before the shuffle, and the smallest buckets that hold the share give the next
 estimate, so a group with a third of all rows costs no more than a small one. Groups under `LEAST` rows are pooled
 by language, and languages under it together.
@@ -25,7 +26,9 @@ from larkspur.llm.textstats import COUNTS, SHARES, text_stats
 #: clean texts share exactly (no symbols, no repeated line) does not make every other value an outlier.
 FLOORS = {"log_word_length": 0.06, "symbols": 0.005, "dup_lines": 0.2, "repeats": 0.2, "upper": 0.06, "log_line_words": 0.5}
 P = len(FLOORS)
-SHARE, STEPS, LEAST, TAIL = 0.75, 4, 100, 1e-7
+SHARE, LEAST, TAIL = 0.75, 100, 1e-7
+#: Concentration steps at most, and the change in the logarithm of a determinant that counts as none.
+STEPS, STILL = 12, 1e-2
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
@@ -94,7 +97,9 @@ def distance(prefix: str = "") -> F.Column:
 
 
 def keys(df: DataFrame) -> DataFrame:
-    return df.withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    """df with _lang and _source that are never null; a null one differs from an empty one."""
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return df.withColumn("_lang", named("lang")).withColumn("_source", named("source"))
 
 
 def fit(stats: DataFrame) -> DataFrame:
@@ -106,32 +111,56 @@ def fit(stats: DataFrame) -> DataFrame:
     groups = cut(sizes.join(small, "_lang", "left").select("_lang", "_source", name.alias("g")))
     rows = cut(rows.join(groups, ["_lang", "_source"]).select("g", *(f"z{i}" for i in range(P))))
     mids = rows.groupBy("g").agg(*(F.percentile_approx(f"z{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(P)))
-    spread = [F.pow(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(w)), -2) for i, w in enumerate(FLOORS.values())]
-    now = cut(mids.select("g", F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("centre"), F.array(*(spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("inverse")))
+    floors = list(FLOORS.values())
+    middle = F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("centre")
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(w)) for i, w in enumerate(floors)]
+    scales = cut(mids.select("g", middle, F.array(*spread).alias("scale")))
+    by_spread = scales.select("g", F.lit(0).alias("start"), "centre", F.array(*(F.pow(F.col("scale")[i], -2) if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("inverse"))
+    pairs = [(i, j) for i in range(P) for j in range(i, P)]
+    unit = [(F.col(f"z{i}") - F.col("centre")[i]) / F.col("scale")[i] for i in range(P)]
+    toward = rows.join(scales, "g").select("g", "centre", "scale", *(u.alias(f"u{i}") for i, u in enumerate(unit)))
+    length = F.greatest(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(P)), F.lit(0.0)), F.lit(1e-12))
+    signs = toward.groupBy("g", "centre", "scale").agg(F.count("*").alias("n"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}") / length).alias(f"p{i}_{j}") for i, j in pairs))
+
+    def by_signs(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        square, scale = np.zeros((P, P)), np.array(row["scale"], float)
+        square[np.triu_indices(P)] = P * row[[f"p{i}_{j}" for i, j in pairs]].to_numpy(float) / row["n"]
+        square = (square + square.T - np.diag(np.diag(square))) * np.outer(scale, scale) + np.diag(np.square(floors))
+        return pd.DataFrame({"g": [row["g"]], "start": [1], "centre": [list(row["centre"])], "inverse": [np.linalg.inv(square).ravel().tolist()]})
+
+    kind = "g string, start int, centre array<double>, inverse array<double>"
+    now = cut(by_spread.unionByName(signs.groupBy("g").applyInPandas(by_signs, kind)).withColumn("size", F.lit(None).cast("double")))
     inside = chi2_cdf(chi2_quantile(0.975, P), P)
 
-    for step in range(STEPS + 1):
-        last = step == STEPS
-        measured = rows.join(now, "g").withColumn("_d", distance()).drop("centre", "inverse")
+    def step(now: DataFrame, last: bool) -> DataFrame:
+        measured = rows.join(now.select("g", "start", "centre", "inverse"), "g").withColumn("_d", distance()).drop("centre", "inverse")
         if last:
             measured = measured.where(F.col("_d") <= chi2_quantile(0.975, P))
-        pairs = [(i, j) for i in range(P) for j in range(i, P)]
-        moments = measured.groupBy("g", F.floor(8 * F.log2(1 + F.greatest("_d", F.lit(0.0)))).alias("bucket")).agg(
+        moments = measured.groupBy("g", "start", F.floor(16 * F.log2(1 + F.greatest("_d", F.lit(0.0)))).alias("bucket")).agg(
             F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs)
         )
-
         share = inside if last else SHARE
 
         def solve(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("bucket")
+            name, start = group["g"].iloc[0], int(group["start"].iloc[0])
             n = group["n"].to_numpy(float)
             if last:  # all of these rows count; the share only sets the factor for what the cut leaves out
-                group, n = group.drop(columns=["g", "bucket"]).sum().to_frame().T.assign(g=group["g"].iloc[0]), np.array([n.sum() / share])
-                group = group.assign(**{c: group[c] / share for c in group.columns if c != "g"})
+                n = np.array([n.sum() / share])
+                group = (group.drop(columns=["g", "start", "bucket"]).sum() / share).to_frame().T
             centre, inverse = estimate(n, group[[f"s{i}" for i in range(P)]].to_numpy(float), group[[f"p{i}_{j}" for i, j in pairs]].to_numpy(float), share)
-            return pd.DataFrame({"g": [group["g"].iloc[0]], "centre": [centre.tolist()], "inverse": [inverse.ravel().tolist()]})
+            return pd.DataFrame({"g": [name], "start": [start], "centre": [centre.tolist()], "inverse": [inverse.ravel().tolist()], "size": [-float(np.linalg.slogdet(inverse)[1])]})
+
+        return cut(moments.groupBy("g", "start").applyInPandas(solve, f"{kind}, size double"))
 
-        now = cut(moments.groupBy("g").applyInPandas(solve, "g string, centre array<double>, inverse array<double>"))
+    for _ in range(STEPS):
+        before, now = now, step(now, False)
+        moved = now.join(before.select("g", "start", F.col("size").alias("was")), ["g", "start"]).where(f"was IS NULL OR was - size > {STILL}")
+        if moved.isEmpty():
+            break
+    best = now.groupBy("g").agg(F.min_by(F.struct("start", "centre", "inverse", "size"), F.struct("size", "start")).alias("b")).select("g", "b.*")
+    now = step(cut(best), True).drop("start", "size")
     return groups.join(now, "g").drop("g")
 
 
