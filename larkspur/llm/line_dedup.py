@@ -4,8 +4,8 @@ Lines that are equal after trimming and lower-casing are one node. A node's shin
 characters at every position. MinHash signatures are banded; of lines that have enough of them, the signature sees only
 the shingles that begin with one of the letters of `MARKS` (a choice by content, alike in all lines), of all others
 every shingle. Verification always compares the full sets. In each band a bucket's lines are held against one of them;
-what a bucket still holds in different components is compared pair by pair inside a join condition, large buckets in
-pairs of blocks, so no pair of lines that share a band is left out and only links leave the join. Verified links go
+what a bucket still holds in different components is compared pair by pair, large buckets inside a join condition in
+pairs of blocks, so no pair of lines that share a band is left out and no large bucket's pairs leave the join. Verified links go
 through a distributed union-find, and the first line of each component stays.
 """
 
@@ -93,10 +93,10 @@ def told_apart(seen: DataFrame) -> DataFrame:
 
 
 def meet_in_blocks(rest: DataFrame, text: DataFrame) -> DataFrame:
-    """Links (a, b) of all members (k, node, c) of a bucket that lie in different components; a bucket goes in pairs of blocks."""
+    """Links (a, b) of all members (k, node, c) of a large bucket that lie in different components; it goes in pairs of blocks."""
     sizes = rest.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    one = rest.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    one = cut(one.join(text.select(F.col("h").alias("node"), "norm"), "node").withColumn("s", shingles()).drop("norm"))
+    one = rest.select("k", "node", "c").join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    one = one.join(text.select(F.col("h").alias("node"), "norm"), "node").withColumn("s", shingles()).drop("norm")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = one.select("k", F.col("own").alias("x"), other.alias("y"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
     right = one.select("k", other.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
@@ -117,22 +117,29 @@ def duplicates(docs: DataFrame) -> DataFrame:
     spelled = sieve(lines_of(docs).select("h", "norm"), "h", members.select("node"))
     text = cut(spelled.distinct())
     side = lambda name, norm: text.select(F.col("h").alias(name), F.col("norm").alias(norm))
-    rest, links, parts = members.withColumn("c", F.col("node")), None, None
+    verified = lambda pairs: pairs.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(linked("na", "nb")).select("a", "b")
+    least = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest, links, tried, parts = members.withColumn("c", F.col("node")), None, None, None
     for r in range(STAR_ROUNDS):
         heads = rest.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", "k", F.lit(r))).alias("head"), F.count("*").alias("n"))
         if r:
             heads = cut(heads.where(F.col("n") > LARGE))
             if heads.isEmpty():
                 break
-        edges = rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = edges.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(linked("na", "nb")).select("a", "b")
+        edges = rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).select(*least).distinct()
+        edges = cut(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"))
+        found = verified(edges)
         links = cut(found if links is None else links.unionByName(found))
+        tried = edges if tried is None else tried.unionByName(edges)
         parts = components(links)
         named = members.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("c"))
-        still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("k")
+        still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("k", "n")
         rest = cut(named.join(still, "k"))
     if not rest.isEmpty():
-        more = cut(meet_in_blocks(rest, text))
+        few = rest.where(F.col("n") <= LARGE)
+        left, right = (few.select("k", F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+        pairs = left.join(right, "k").where("ca < cb").select(*least).distinct().join(tried, ["a", "b"], "left_anti")
+        more = cut(verified(pairs).unionByName(meet_in_blocks(rest.where(F.col("n") > LARGE), text)))
         if not more.isEmpty():
             parts = components(links.unionByName(more))
     place = F.struct("doc_id", "t", "line")

@@ -370,3 +370,25 @@ def test_jaccard_boundary_is_the_cheapest():
     for sizes in ({20: 5, 60: 10, 300: 4}, {40: 100}, {150: 7, 20: 1}):
         cost = lambda x: sum(c * ((rule.subsets(n) if n <= x else 0) + (rule.bands if 100 * n >= rule.link * x else 0)) for n, c in sizes.items())
         assert cost(rule.cheapest(sizes)) == min(map(cost, range(rule.alone, jaccard_join.MOST_SMALL + 1)))
+
+
+def test_line_dedup_of_large_buckets(spark, monkeypatch):
+    for name, value in (("LARGE", 2), ("BLOCK", 2), ("STAR_ROUNDS", 2)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(21)
+    base, lines = words(rng, 30), []
+    for k in range(40):  # many lines around one, some similar to others only
+        w = base.split()
+        for _ in range(k % 8):
+            w[rng.randrange(len(w))] = words(rng, 1, "q")
+        lines.append(" ".join(w))
+    runs = lambda t: {t[k : k + line_dedup.SHINGLE] for k in range(max(1, len(t) - line_dedup.SHINGLE + 1))}
+    root = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            x, y = runs(lines[j]), runs(a)
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert out == {i: lines[i] if root[i] == i else "" for i in range(len(lines))}
+    assert 3 < len(set(root)) < 38
