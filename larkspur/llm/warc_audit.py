@@ -27,41 +27,47 @@ HEAD = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:{digest}>
 
 
 def records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """page_id, file, offset, length, copies, record (bytes) of every distinct page, as WARC files of about `file_records` records.
+    """page_id, file, offset, length, digest, copies of every distinct page, as WARC files of about `file_records` records.
 
     A page goes to a file by its digest, so that no key makes a file large, and lies there in the order of (page_id,
     digest). Equal rows are one record with a count of copies. Null urls and bodies are empty; a null page_id is kept.
     """
-    head = HEAD.split("{digest}")
-    url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    middle, tail = head[1].split("{url}")
-    length = tail.split("{length}")
-    record = F.concat(F.lit(head[0]), "digest", F.lit(middle), "url", F.lit(length[0]), F.octet_length("html").cast("string"), F.lit(length[1]), "html", F.lit("\r\n\r\n"))
-    rows = rows.withColumn("record", record.cast("binary")).select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"), "record")
-    slim = cut(rows.drop("record").groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies")))
-    files = max(1, -(-slim.count() // file_records))
-    number = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long") % files
+    slim = cut(spelled(pages).drop("record").groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies")))
     order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return slim.withColumn("file", number).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    return slim.withColumn("file", file_of(files(slim, file_records))).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+
 
+def files(held: DataFrame, file_records: int = FILE_RECORDS) -> int:
+    return max(1, -(-held.count() // file_records))
 
-def record_texts(pages: DataFrame, held: DataFrame) -> DataFrame:
-    """held, as records() gives it, with each record's text in the column record, but for the blank lines at its end."""
+
+def file_of(number: int) -> F.Column:
+    return F.conv(F.substring("digest", 1, 12), 16, 10).cast("long") % number
+
+
+def spelled(pages: DataFrame) -> DataFrame:
+    """page_id, record (text, but for the blank lines at its end), digest and length (of all its bytes) of every row."""
     head = HEAD.split("{digest}")
     middle, tail = head[1].split("{url}")
     length = tail.split("{length}")
     url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    record = F.concat(F.lit(head[0]), F.sha2(html, 256), F.lit(middle), url, F.lit(length[0]), F.octet_length(html).cast("string"), F.lit(length[1]), html)
-    bodies = pages.select(F.col("page_id").cast("long").alias("p"), record.alias("record")).withColumn("d", F.sha2(F.concat("record", F.lit(END)), 256)).dropDuplicates(["p", "d"])
-    return held.join(bodies, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).drop("p", "d")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
+    record = F.concat(F.lit(head[0]), F.sha2("html", 256), F.lit(middle), "url", F.lit(length[0]), F.octet_length("html").cast("string"), F.lit(length[1]), "html")
+    rows = rows.select("page_id", record.alias("record"))
+    return rows.select("page_id", "record", F.sha2(F.concat("record", F.lit(END)), 256).alias("digest"), (F.octet_length("record") + len(END)).cast("long").alias("length"))
 
 
-def write_replica(records: DataFrame, folder: str, compression: str = "none") -> None:
-    """WARC files of records (file, offset, record): one for each file, its records by offset, each closed by blank lines."""
+def write_replica(records: DataFrame, folder: str, number: int, compression: str = "none") -> None:
+    """`number` WARC files of records (page_id, record, digest), laid out as records() says, each record closed by blank lines.
+
+    A record's file follows from its digest and its place in it from the order, so records are shuffled once and
+    joined with nothing; repeated ones are written once.
+    """
+    place = [F.col("page_id").asc_nulls_first(), F.col("digest")]
+    again = F.row_number().over(Window.partitionBy("file", "page_id", "digest").orderBy("length"))
+    rows = records.withColumn("file", file_of(number)).repartition("file").withColumn("_again", again).where("_again = 1")
     with settings(records.sparkSession, {CLEANUP: "true"}):
-        rows = records.repartition("file").sortWithinPartitions("file", "offset").select("file", "record")
-    rows.write.mode("overwrite").partitionBy("file").text(folder, compression=compression, lineSep=END)
+        rows.sortWithinPartitions("file", *place).select("file", "record").write.mode("overwrite").partitionBy("file").text(folder, compression=compression, lineSep=END)
 
 
 def unpacked(content: bytes) -> bytes:
@@ -205,9 +211,9 @@ def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     held = cut(records(pages))
     folder = shared_folder(spark, f"warc-{uuid.uuid4().hex}")
-    whole = record_texts(pages, held)
-    write_replica(whole, f"{folder.path}/a", "gzip")
-    write_replica(damaged(whole), f"{folder.path}/b", "gzip")
+    whole, number = spelled(pages), files(held)
+    write_replica(whole, f"{folder.path}/a", number, "gzip")
+    write_replica(damaged(whole), f"{folder.path}/b", number, "gzip")
     found = audit(read_replica(spark, f"{folder.path}/a"), read_replica(spark, f"{folder.path}/b"))
     folder.delete()
     said = found.where("status <> 'extra'").select("file", "offset", "status")

@@ -292,10 +292,10 @@ def test_fixity_audit_locates_damage(spark, tmp_path):
     pages = spark.createDataFrame([(i % 700, f"http://h/{i}", "x" * (i % 97)) for i in range(900)] + [(None, None, None), (3, "http://h/3", "x" * 3), (9, "http://é/", "WARC/1.1\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string").withColumn("offset", F.lit(1))
     held = warc_audit.records(pages, 100)
     assert held.count() == 902 and held.agg(F.sum("copies")).first()[0] == 903
-    whole = warc_audit.record_texts(pages, held)
+    whole = warc_audit.spelled(pages)
     place = ["file", "offset", "length", "digest"]
     for name, records, kind in (("a", whole, "none"), ("b", warc_audit.damaged(whole), "gzip")):
-        warc_audit.write_replica(records, str(tmp_path / name), kind)
+        warc_audit.write_replica(records, str(tmp_path / name), warc_audit.files(held, 100), kind)
     ours, theirs = (warc_audit.read_replica(spark, str(tmp_path / x)) for x in "ab")
     want = {tuple(r) for r in held.select(*place).collect()}
     assert {tuple(r) for r in ours.select(*place).collect()} == want
