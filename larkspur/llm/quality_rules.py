@@ -5,8 +5,9 @@ two starts: coordinatewise medians and spreads, and the scatter of the direction
 Concentration steps keep the `SHARE` of rows with the smallest Mahalanobis distance until no determinant falls any
 more; the start with the smaller determinant is taken, and one reweighting step follows. A step never gathers a group: rows are summed into
 (group, distance bucket) moments before the shuffle, and the smallest buckets that hold the share give the next
-estimate, so a group with a third of all rows costs no more than a small one. Groups under `LEAST` rows are pooled
-by language, and languages under it together.
+estimate, so a group with a third of all rows costs no more than a small one. A determinant says little about a few
+rows, so every estimate is one of the group's own rows and of `PRIOR` rows' weight of its language's, and a language's
+of the whole table's. The rule is the same at every size: what a group's own rows weigh grows with their number.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordCodes, cut, load, prepare, texts_of
+from larkspur.llm.common import WordCodes, cut, load, prepare, sized_broadcast, texts_of
 from larkspur.llm.textstats import COUNTS, SHARES, text_stats
 
 #: The transformed statistics, and the least spread that each is taken to have, so that a statistic which nearly all
 #: clean texts share exactly (no symbols, no repeated line) does not make every other value an outlier.
 FLOORS = {"log_word_length": 0.06, "symbols": 0.005, "dup_lines": 0.2, "repeats": 0.2, "upper": 0.06, "log_line_words": 0.5}
 P = len(FLOORS)
-SHARE, LEAST, TAIL = 0.75, 100, 1e-7
+SHARE, TAIL = 0.75, 1e-7
+#: Rows that the estimate of the level above counts as.
+PRIOR = 100
 #: Concentration steps at most, and the change in the logarithm of a determinant that counts as none.
 STEPS, STILL = 12, 1e-2
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -104,12 +107,9 @@ def keys(df: DataFrame) -> DataFrame:
 
 def fit(stats: DataFrame) -> DataFrame:
     """_lang, _source, centre, inverse for every group of stats (columns _lang, _source, base_failed, z0...)."""
-    rows = stats.where("NOT base_failed")
-    sizes = rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < LEAST).groupBy("_lang").agg(F.sum("n").alias("pool"))
-    name = F.when(F.col("n") >= LEAST, F.to_json(F.struct("_lang", "_source"))).when(F.col("pool") >= LEAST, F.to_json(F.struct("_lang"))).otherwise(F.lit("{}"))
-    groups = cut(sizes.join(small, "_lang", "left").select("_lang", "_source", name.alias("g")))
-    rows = cut(rows.join(groups, ["_lang", "_source"]).select("g", *(f"z{i}" for i in range(P))))
+    vectors = cut(stats.where("NOT base_failed").select("_lang", "_source", *(f"z{i}" for i in range(P))))
+    rows = vectors.select(F.explode(F.array(*names_of())).alias("g"), *(f"z{i}" for i in range(P)))
+    counts = cut(rows.groupBy("g").agg(F.count("*").alias("n")))
     mids = rows.groupBy("g").agg(*(F.percentile_approx(f"z{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(P)))
     floors = list(FLOORS.values())
     middle = F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("centre")
@@ -118,7 +118,7 @@ def fit(stats: DataFrame) -> DataFrame:
     by_spread = scales.select("g", F.lit(0).alias("start"), "centre", F.array(*(F.pow(F.col("scale")[i], -2) if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("inverse"))
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
     unit = [(F.col(f"z{i}") - F.col("centre")[i]) / F.col("scale")[i] for i in range(P)]
-    toward = rows.join(scales, "g").select("g", "centre", "scale", *(u.alias(f"u{i}") for i, u in enumerate(unit)))
+    toward = rows.join(sized_broadcast(scales), "g").select("g", "centre", "scale", *(u.alias(f"u{i}") for i, u in enumerate(unit)))
     length = F.greatest(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(P)), F.lit(0.0)), F.lit(1e-12))
     signs = toward.groupBy("g", "centre", "scale").agg(F.count("*").alias("n"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}") / length).alias(f"p{i}_{j}") for i, j in pairs))
 
@@ -134,7 +134,7 @@ def fit(stats: DataFrame) -> DataFrame:
     inside = chi2_cdf(chi2_quantile(0.975, P), P)
 
     def step(now: DataFrame, last: bool) -> DataFrame:
-        measured = rows.join(now.select("g", "start", "centre", "inverse"), "g").withColumn("_d", distance()).drop("centre", "inverse")
+        measured = rows.join(sized_broadcast(now.select("g", "start", "centre", "inverse")), "g").withColumn("_d", distance()).drop("centre", "inverse")
         if last:
             measured = measured.where(F.col("_d") <= chi2_quantile(0.975, P))
         moments = measured.groupBy("g", "start", F.floor(16 * F.log2(1 + F.greatest("_d", F.lit(0.0)))).alias("bucket")).agg(
@@ -160,8 +160,37 @@ def fit(stats: DataFrame) -> DataFrame:
         if moved.isEmpty():
             break
     best = now.groupBy("g").agg(F.min_by(F.struct("start", "centre", "inverse", "size"), F.struct("size", "start")).alias("b")).select("g", "b.*")
-    now = step(cut(best), True).drop("start", "size")
-    return groups.join(now, "g").drop("g")
+    own = cut(counts.join(step(cut(best), True).drop("start", "size"), "g", "left"))
+    groups = vectors.select("_lang", "_source").distinct()
+    for level, name in enumerate(names_of()):
+        at = own.select(F.col("g").alias(f"g{level}"), *(F.col(c).alias(f"{c}{level}") for c in ("n", "centre", "inverse")))
+        groups = groups.withColumn(f"g{level}", name).join(at, f"g{level}")
+    return sized_broadcast(cut(groups.mapInPandas(blended, "_lang string, _source string, centre array<double>, inverse array<double>")))
+
+
+def names_of() -> list[F.Column]:
+    """The names of a row's groups: the whole table, its language, its language and source."""
+    return [F.lit("{}"), F.to_json(F.struct("_lang")), F.to_json(F.struct("_lang", "_source"))]
+
+
+def blended(batches):
+    """Own estimates of a group's three levels -> its centre and inverse scatter, each level PRIOR rows of the next."""
+    for batch in batches:
+        out = []
+        for row in batch.to_dict("records"):
+            centre = scatter = None
+            for level in range(3):
+                if row[f"centre{level}"] is None:
+                    continue
+                c, s = np.array(row[f"centre{level}"]), np.linalg.inv(np.array(row[f"inverse{level}"]).reshape(P, P))
+                if centre is None:
+                    centre, scatter = c, s
+                    continue
+                w = row[f"n{level}"] / (row[f"n{level}"] + PRIOR)
+                scatter = w * s + (1 - w) * scatter + w * (1 - w) * np.outer(c - centre, c - centre)
+                centre = w * c + (1 - w) * centre
+            out.append((row["_lang"], row["_source"], None if centre is None else centre.tolist(), None if centre is None else np.linalg.inv(scatter).ravel().tolist()))
+        yield pd.DataFrame(out, columns=["_lang", "_source", "centre", "inverse"])
 
 
 def measured(docs: DataFrame) -> DataFrame:

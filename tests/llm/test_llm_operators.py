@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import common, jaccard_join, langid, line_dedup, mixing, packing, quality_model, quality_rules, substring_dedup, topk, warc_audit
+from larkspur.llm.textstats import text_stats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, rank int, component string"
 
@@ -288,6 +290,32 @@ def test_quality_rules(spark, docs, none):
     assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
 
+def plain_counts(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = Counter(zip(found, found[1:], found[2:], strict=False))
+    again = {i + j for i in range(len(found) - 2) if grams[tuple(found[i : i + 3])] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again)
+
+
+def test_base_counts_equal_plain_python(spark, texts):
+    odd = ["a b a b a b", "é\u00a0ü\u3000x \x0b\x0c y\n\n \n", "日本 語 日本 語 日本 語 😀", "#\n#\n #\n<|>", "x x x", "x x"]
+    stored = [r.text or "" for r in common.load(spark, DATA, "documents").select("text").collect()]
+    every = [t or "" for t in texts] + odd + stored
+    got, _ = text_stats([t.encode() for t in every], common.WordCodes())
+    assert [tuple(r) for r in got.tolist()] == [plain_counts(t) for t in every]
+
+
+def test_quality_rules_of_small_groups(spark):
+    """A group of a few rows is judged by its own and its language's estimate; one of its own is never a bar."""
+    rng = random.Random(8)
+    clean = [(i, words(rng, 120), "en", f"s{i % 40}") for i in range(200)]
+    junk = [(1000 + i, " ".join(w + "***" for w in words(rng, 120).split()), "en", f"s{i}") for i in range(5)]
+    lone = [(2000, words(rng, 120), "xx", "only"), (2001, words(rng, 120), None, None)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(clean + junk + lone, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(5)) and got[2000] and got[2001]
+
+
 def test_fixity_audit_locates_damage(spark, tmp_path):
     pages = spark.createDataFrame([(i % 700, f"http://h/{i}", "x" * (i % 97)) for i in range(900)] + [(None, None, None), (3, "http://h/3", "x" * 3), (9, "http://é/", "WARC/1.1\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string").withColumn("offset", F.lit(1))
     held = warc_audit.records(pages, 100)
