@@ -196,3 +196,28 @@ def stars(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sized_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has been counted to hold at most `rows` narrow rows; df itself otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def rare_pairs(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components whose sets (node, c, s) may have a Jaccard similarity of numerator / denominator.
+
+    All that have it, each once, and few others, by prefixes: two such sets share an element of their n - ceil(t * n) + 1
+    first ones in one order of all elements. Elements of a single component come first, then the rarest ones, so what
+    many sets hold in common brings nobody together. A pair is found at the first element that it shares, where
+    the sizes of what follows must still allow the similarity. s has distinct longs and no nulls; a node has one row.
+    """
+    each = sets.select("node", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
+    apart = lambda rows, *more: rows.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *more).where("lo < hi").drop("lo", "hi")
+    often = cut(apart(each, F.count("*").alias("w")))
+    mine = sieve(each, "x", often.select("x")).join(often, "x").groupBy("node", "c", "n").agg(F.sort_array(F.collect_list(F.struct("w", "x"))).alias("o"))
+    own = F.col("n") - F.size("o")
+    length = F.col("n") - F.floor((F.col("n") * numerator + (denominator - 1)) / denominator).cast("int") + 1
+    mine = mine.select("node", "c", "n", own.alias("own"), F.slice("o", 1, F.greatest(F.lit(0), length - own)).alias("o"))
+    first = cut(mine.select("node", "c", "n", "own", F.posexplode("o").alias("at", "e")).select("node", "c", "n", (F.col("own") + F.col("at")).alias("at"), F.col("e.x").alias("x")))
+    shared = first.join(cut(apart(first)), "x").groupBy("node", "c", "n").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("o"))
+    posted = shared.select("node", "c", "n", F.posexplode("o").alias("i", "e"), F.col("o.x").alias("xs"))
+    posted = cut(posted.select(F.col("e.x").alias("x"), "node", "c", "n", F.col("e.at").alias("at"), F.slice("xs", F.lit(1), F.col("i")).alias("before")))
+    side = lambda name: posted.select("x", F.col("node").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("c", "n", "at", "before")))
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    may = most * (numerator + denominator) >= (F.col("n_a") + F.col("n_b")) * numerator
+    return side("a").join(side("b"), "x").where((F.col("c_a") < F.col("c_b")) & may & ~F.arrays_overlap("before_a", "before_b")).select("a", "b")

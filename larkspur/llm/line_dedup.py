@@ -4,9 +4,9 @@ Lines that are equal after trimming and lower-casing are one node. A node's shin
 characters at every position. MinHash signatures are banded; of lines that have enough of them, the signature sees only
 the shingles that begin with one of the letters of `MARKS` (a choice by content, alike in all lines), of all others
 every shingle. Verification always compares the full sets. In each band a bucket's lines are held against one of them;
-what a bucket still holds in different components is compared pair by pair, large buckets inside a join condition in
-pairs of blocks, so no pair of lines that share a band is left out and no large bucket's pairs leave the join. Verified links go
-through a distributed union-find, and the first line of each component stays.
+what a small bucket still holds in different components is compared pair by pair. Lines of large buckets meet by their rarest
+shingles, which every similar pair shares (`rare_pairs`), so no pair of lines that share a band is left out and what a bucket's lines
+all have in common makes no pairs. Verified links go through a distributed union-find, and the first line of each component stays.
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, cut, fresh, load, prepare, settings, sieve, stars
+from larkspur.llm.common import components, cut, fresh, load, prepare, rare_pairs, settings, sieve, stars
 
 SHINGLE, BANDS, ROWS = 9, 8, 3
 #: First characters of the shingles that the signature of a long line sees; about a quarter of Latin text.
 MARKS = "aei"
 #: Lines of at least SEEN marked shingles have keys by these, those under UNSEEN by all; similar lines share a kind.
 SEEN, UNSEEN = 24, 36
-#: Buckets of more nodes meet another of their nodes, up to STAR_ROUNDS times in all, before what is left meets pair by pair.
+#: Buckets of more nodes meet another of their nodes, up to STAR_ROUNDS times in all, before what is left meets otherwise.
 LARGE, STAR_ROUNDS = 16, 3
-#: Nodes of a block, where a bucket is compared pair by pair.
+#: Up to so many nodes of large buckets in all meet pair by pair too.
 BLOCK = 128
 #: Evenly spaced, one a band. The ROWS shingle hashes at and after a pivot, going round at the end, are its MinHashes.
 PIVOTS = [(j << 64) // BANDS - (1 << 63) for j in range(BANDS)]
@@ -92,15 +92,9 @@ def told_apart(seen: DataFrame) -> DataFrame:
     return cut(mixed.withColumn("h", F.when(F.col("clash"), F.xxhash64("h", "g")).otherwise(F.col("h"))).drop("clash"))
 
 
-def meet_in_blocks(rest: DataFrame, text: DataFrame) -> DataFrame:
-    """Links (a, b) of all members (k, node, c) of a large bucket that lie in different components; it goes in pairs of blocks."""
-    sizes = rest.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    one = rest.select("k", "node", "c").join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    one = one.join(text.select(F.col("h").alias("node"), "norm"), "node").withColumn("s", shingles()).drop("norm")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = one.select("k", F.col("own").alias("x"), other.alias("y"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
-    right = one.select("k", other.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
-    return left.join(right, ["k", "x", "y"]).where((F.col("ca") < F.col("cb")) & alike("sa", "sb")).select("a", "b").distinct()
+def spelled_sets(rest: DataFrame, text: DataFrame) -> DataFrame:
+    """node, c and the shingles s of the members (k, node, c) of buckets, a row a node."""
+    return cut(rest.select("node", "c").distinct().join(text.withColumnRenamed("h", "node"), "node").select("node", "c", shingles().alias("s")))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -136,10 +130,14 @@ def duplicates(docs: DataFrame) -> DataFrame:
         still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("k", "n")
         rest = cut(named.join(still, "k"))
     if not rest.isEmpty():
-        few = rest.where(F.col("n") <= LARGE)
+        many = rest.where(F.col("n") > LARGE)
+        rare = many.select("node").distinct().count() > BLOCK
+        few = rest.where(F.col("n") <= LARGE) if rare else rest
         left, right = (few.select("k", F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-        pairs = left.join(right, "k").where("ca < cb").select(*least).distinct().join(tried, ["a", "b"], "left_anti")
-        more = cut(verified(pairs).unionByName(meet_in_blocks(rest.where(F.col("n") > LARGE), text)))
+        pairs = left.join(right, "k").where("ca < cb").select(*least)
+        if rare:
+            pairs = pairs.unionByName(rare_pairs(spelled_sets(many, text), NUMERATOR, DENOMINATOR).select(*least))
+        more = cut(verified(cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))))
         if not more.isEmpty():
             parts = components(links.unionByName(more))
     place = F.struct("doc_id", "t", "line")

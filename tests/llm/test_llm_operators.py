@@ -420,3 +420,19 @@ def test_line_dedup_of_large_buckets(spark, monkeypatch):
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert out == {i: lines[i] if root[i] == i else "" for i in range(len(lines))}
     assert 3 < len(set(root)) < 38
+
+
+def test_rare_pairs_lose_no_link_and_pass_over_common_parts(spark):
+    rng = random.Random(33)
+    common_part, sets = rng.sample(range(1000), 70), []
+    for k in range(60):
+        sets.append(common_part + rng.sample(range(1000 + 100 * k, 1100 + 100 * k), 30))  # alike by less than 0.8, so far from any other
+    for k in range(12):
+        base = rng.sample(range(10_000 + 200 * k, 10_100 + 200 * k), 40 + k)
+        sets += [base[j:] + rng.sample(range(20_000, 20_030), j) for j in range(6)]
+    sets.append([])
+    rows = [(i, i % 50, s) for i, s in enumerate(sets)]
+    got = [tuple(r) for r in common.rare_pairs(spark.createDataFrame(rows, "node long, c long, s array<long>"), 4, 5).collect()]
+    alike = {(i, j) for i, c, s in rows for j, d, t in rows if c < d and 5 * len({*s} & {*t}) >= 4 * len({*s} | {*t}) > 0}
+    assert alike <= {*got} and len(got) == len({*got}) and 10 < len(alike)
+    assert not [x for x in got if min(x) < 60]
