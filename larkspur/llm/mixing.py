@@ -76,7 +76,9 @@ def mix(docs: DataFrame, budget: float | None = None, entropy_share: float | Non
     prepare(docs.sparkSession)
     n, block, copies, weight, name = (fresh(docs, x) for x in ("n_tokens", "block", "copies", "source_weight", "_source"))
     keyed = docs.withColumn(name, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))).withColumn(n, words_in("text"))
-    totals = {r[0]: r[1] or 0 for r in keyed.groupBy(name).agg(F.sum(n)).collect()}  # one row a source
+    keyed = keyed.withColumn("_u", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.length("text")))
+    counted = cut(keyed.groupBy(name, "_u").agg(F.sum(n).alias("t")))  # words are counted here and in the rows that go out, not a third time
+    totals = {r[0]: r[1] or 0 for r in counted.groupBy(name).agg(F.sum("t")).collect()}  # one row a source
     live = {s: t for s, t in totals.items() if t > 0}
     total = sum(live.values())
     most = math.log(len(live)) if len(live) > 1 else 0.0
@@ -101,9 +103,8 @@ def mix(docs: DataFrame, budget: float | None = None, entropy_share: float | Non
         plan.append((s, passes, max(0.0, want - passes * t), max(1, math.ceil(t / block_tokens)), shares.get(s, 0.0)))
     spark = docs.sparkSession
     goal = sized_broadcast(spark.createDataFrame(plan, f"`{name}` string, _passes long, _rest double, _blocks long, `{weight}` double"))  # one row a source
-    rows = keyed.join(goal, name, "left").withColumn("_u", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.length("text")))
-    rows = rows.withColumn(block, F.pmod(F.xxhash64(F.lit(seed + 1), "_u"), F.col("_blocks")))
-    slim = cut(rows.select(name, block, "_u", n, "_rest").groupBy(name, block, "_u", "_rest").agg(F.sum(n).alias("t")))
+    dealt = lambda table: table.join(goal, name, "left").withColumn(block, F.pmod(F.xxhash64(F.lit(seed + 1), "_u"), F.col("_blocks")))
+    rows, slim = dealt(keyed), dealt(counted).select(name, block, "_u", "t", "_rest")
     sums = slim.groupBy(name, block, "_rest").agg(F.sum("t").alias("_all"))  # a row a block
     sums = cut(sums.withColumn("_super", F.floor(F.col(block) / SUPER)))
     supers = sums.groupBy(name, "_super").agg(F.sum("_all").alias("_own"))  # prefix sums on two levels, so that no task has all blocks of a source
