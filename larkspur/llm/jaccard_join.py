@@ -9,8 +9,8 @@ boundary is the size at which the index has the fewest rows, by the sizes that t
 post both ways.
 
 Equal sets are one class. The classes of a list are held against one of them, exactly; classes of a list that verified
-links have not brought into one component by then meet pair by pair, those of a long list in pairs of blocks whose
-overlaps are counted over the inverted lists of their shingles. Nothing is chained by what has not been verified.
+links have not brought into one component by then meet pair by pair, those of long lists by their rarest shingles, which
+every pair that links shares (`rare_pairs`). Nothing is chained by what has not been verified.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordCodes, components, cut, load, mix, prepare, sieve, signed, stars, texts_of, window_hashes, word_codes
+from larkspur.llm.common import WordCodes, components, cut, load, mix, prepare, rare_pairs, sieve, signed, stars, texts_of, window_hashes, word_codes
 
 GRAM, LINK = 4, 85
 SUBSET, BANDS, TUPLE = 3, 64, 6
 #: Largest boundary that is weighed: beyond it a set would enumerate thousands of subsets.
 MOST_SMALL = 160
-#: Lists of more classes meet in pairs of blocks of BLOCK classes, and another of their classes up to STAR_ROUNDS times before.
+#: Classes of longer lists meet another of their classes up to STAR_ROUNDS times, then by their rarest shingles if over BLOCK classes are left.
 LONG, BLOCK, STAR_ROUNDS = 12, 256, 3
 #: Classes that are held against one class in a task.
 SHARE = 500
@@ -141,61 +141,6 @@ def signatures(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     return keyed_texts(docs).mapInArrow(run, "doc_id long, t long, n long, d1 long, d2 long, keys array<long>")
 
 
-def spanning(ids: list[int], sets: list[np.ndarray], link: int = LINK) -> list[tuple[int, int]]:
-    """Links that span the components of the sets: each set counts its overlaps with all before it by scanning lists."""
-    n = len(sets)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    size = np.array([len(s) for s in sets])
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
-    order = np.argsort(tokens, kind="stable")
-    lists, starts, where, df = owner[order], *np.unique(tokens[order], return_index=True, return_inverse=True, return_counts=True)[1:]
-    at = np.empty(len(tokens), np.int64)
-    at[order] = where
-    ends, links, offset = np.cumsum(size), [], 0
-    for i in range(n):
-        mine = at[offset : ends[i]]
-        offset = ends[i]
-        mine = mine[df[mine] > 1]
-        if not len(mine):
-            continue
-        length = df[mine]
-        spots = np.arange(length.sum()) + np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-        both = np.bincount(lists[spots], minlength=n)[:i]
-        for j in np.flatnonzero(100 * both >= link * (size[i] + size[:i] - both)):
-            a, b = find(i), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((ids[i], ids[int(j)]))
-    return links
-
-
-def scan(batches, rule: Rule = OWN):
-    """Rows sorted by task: (task, node, text) -> spanning links of each task."""
-    cache, task, ids, sets = WordCodes(), None, [], []
-
-    def links():
-        if len(ids) > 1:
-            found = spanning(ids, sets, rule.link)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    for batch in batches:
-        for t, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
-            if t != task:
-                yield from links()
-                task, ids, sets = t, [], []
-            ids.append(i)
-            sets.append(shingle_set(text, cache, rule.gram))
-    yield from links()
-
-
 def against_heads(batches, rule: Rule = OWN):
     """Rows sorted by (a, part, b), the head's own with b null first: (a, part, b, text) -> links of the head with b."""
     cache, head = WordCodes(), np.empty(0, np.uint64)
@@ -222,14 +167,21 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(partial(against_heads, rule=rule), "a long, b long")
 
 
-def in_blocks(rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links of the members (k, node) of long lists: every two of a list meet in a task of two blocks, or one."""
-    sizes = rest.groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    put = rest.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    tasks = put.select("k", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node").distinct()
-    meet = tasks.join(texts, "node").select("task", "node", "text")
-    return meet.repartition("task").sortWithinPartitions("task").mapInArrow(partial(scan, rule=rule), "a long, b long")
+def sets_of(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """node, c and the set s of the rows (node, c, text), a few hundred thousand shingles a batch."""
+
+    def run(batches):
+        cache = WordCodes()
+        for batch in batches:
+            at, found, held = 0, [], 0
+            for i, text in enumerate(texts_of(batch.column(2)), 1):
+                found.append(signed(shingle_set(text, cache, rule.gram)))
+                held += len(found[-1])
+                if held > 200_000 or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[at:i], batch.column(1)[at:i], pa.array(found, pa.list_(pa.int64()))], ["node", "c", "s"])
+                    at, found, held = i, [], 0
+
+    return nodes.mapInArrow(run, "node long, c long, s array<long>")
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, rule: Rule, more: DataFrame) -> DataFrame:
@@ -249,10 +201,15 @@ def linked_classes(members: DataFrame, texts: DataFrame, rule: Rule, more: DataF
         rest = cut(named.join(still, "k"))
     if rest.isEmpty():
         return parts
-    side = lambda x: rest.where(F.col("size") <= LONG).select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c")))
+    long = rest.where(F.col("size") > LONG).select("node", "c").distinct()
+    rare = long.count() > BLOCK
+    few = rest.where(F.col("size") <= LONG) if rare else rest
+    side = lambda x: few.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c")))
     near = (F.col("n_a") * 100 >= F.col("n_b") * rule.link) & (F.col("n_b") * 100 >= F.col("n_a") * rule.link)
-    pairs = side("a").join(side("b"), "k").where((F.col("c_a") < F.col("c_b")) & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    found = cut(verified(cut(pairs), texts, rule).unionByName(in_blocks(rest.where(F.col("size") > LONG).select("k", "node"), texts, rule)))
+    pairs = side("a").join(side("b"), "k").where((F.col("c_a") < F.col("c_b")) & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    if rare:
+        pairs = pairs.unionByName(rare_pairs(cut(sets_of(long.join(texts, "node").select("node", "c", "text"), rule)), rule.link, 100))
+    found = cut(verified(cut(pairs.distinct()), texts, rule))
     return parts if found.isEmpty() else components(links.unionByName(found))
 
 

@@ -436,3 +436,20 @@ def test_rare_pairs_lose_no_link_and_pass_over_common_parts(spark):
     alike = {(i, j) for i, c, s in rows for j, d, t in rows if c < d and 5 * len({*s} & {*t}) >= 4 * len({*s} | {*t}) > 0}
     assert alike <= {*got} and len(got) == len({*got}) and 10 < len(alike)
     assert not [x for x in got if min(x) < 60]
+
+
+def test_jaccard_long_lists_make_few_pairs_of_a_common_passage(spark, monkeypatch):
+    for name, value in (("LONG", 2), ("BLOCK", 2), ("STAR_ROUNDS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    counts, verified = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *more: (counts.append(pairs.count()), verified(pairs, *more))[1])
+    rng = random.Random(35)
+    passage = words(rng, 150)
+    texts = [passage + " " + words(rng, 50, f"t{k}") for k in range(40)]  # a common passage of three quarters links none of them
+    texts += [texts[7] + " a tail", texts[3] + " a tail"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    members = spark.createDataFrame([(1, i, 197) for i in range(len(texts))], "k long, node long, n long")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {r[0]: r[1] for r in jaccard_join.linked_classes(members, rows, jaccard_join.OWN, none).collect()}
+    assert got == {7: 7, 40: 7, 3: 3, 41: 3}
+    assert len(counts) == 2 and counts[0] == len(texts) - 1 and 2 <= counts[1] < len(texts)  # with the head, then by rare shingles
