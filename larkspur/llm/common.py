@@ -61,7 +61,11 @@ class shared_folder:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, short: bool = True) -> DataFrame:
+#: Bytes of a checkpoint of narrow rows that one partition holds, and that are broadcast at most.
+NARROW_BYTES = 8 << 20
+
+
+def cut(df: DataFrame, short: bool = True, narrow: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files, so that no lost executor loses it.
 
     A checkpointed frame carries its plan's size estimate along, and each join multiplies the estimates of its sides:
@@ -69,6 +73,8 @@ def cut(df: DataFrame, short: bool = True) -> DataFrame:
     Shuffle files that led to the checkpoint are of no more use once it is written; they go then and not at the
     driver's next garbage collection. The setting is read when a frame is made and holds for this one alone.
     short: with Arrow batches of the usual length for texts.
+    narrow: rows of a few numbers, which cost little each. They go on in as few partitions as the bytes written ask for; a
+    single one is grouped without a shuffle and broadcast to joins. Rounds over a small graph would otherwise be all tasks and no rows.
     """
     spark = df.sparkSession
     if short:
@@ -76,7 +82,16 @@ def cut(df: DataFrame, short: bool = True) -> DataFrame:
     with settings(spark, {CLEANUP: "true"}):
         last = df.select("*")
     saved = last.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
+    rows = DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
+    if not narrow:
+        return rows
+    written = saved.queryExecution().analyzed().rdd()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.getCheckpointFile().get())
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    few = -(-size // NARROW_BYTES)
+    if few <= 1:
+        return F.broadcast(rows.coalesce(1))
+    return rows.coalesce(few) if few < written.getNumPartitions() else rows
 
 
 def fresh(df: DataFrame, *wanted: str) -> str:
@@ -141,29 +156,29 @@ def components(edges: DataFrame) -> DataFrame:
     gathered. Null ends are dropped; nodes without an edge do not appear. No edges: no rows.
     """
     least = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    live = cut(edges.where("a <> b").select(*least(F.col("a"), F.col("b"))).distinct())
+    live = cut(edges.where("a <> b").select(*least(F.col("a"), F.col("b"))).distinct(), narrow=True)
     hooks = []
     while not live.isEmpty():
         both = live.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hook = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")))
+        hook = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")), narrow=True)
         while True:  # pointers rest once the last of three jumps moves none
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
             jumped = hook
             for _ in range(3):
                 jumped = jumped.select("node", "up").join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
-            jumped = cut(jumped)
+            jumped = cut(jumped, narrow=True)
             hook = jumped.select("node", "up")
             if jumped.where("moved").isEmpty():
                 break
         hooks.append(hook)
         ends = live.join(hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(hook.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
-        live = cut(ends.where("ua <> ub").select(*least(F.col("ua"), F.col("ub"))).distinct())
+        live = cut(ends.where("ua <> ub").select(*least(F.col("ua"), F.col("ub"))).distinct(), narrow=True)
     if not hooks:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = hooks[0]
     for hook in hooks[1:]:
         found = found.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-    return cut(found).select("node", F.col("up").alias("component"))
+    return cut(found, narrow=True).select("node", F.col("up").alias("component"))
 
 
 #: Words of the sieve's bit table: 2^18 rows of 64 bits, a broadcast of a few MB whatever the input.

@@ -190,15 +190,15 @@ def linked_classes(members: DataFrame, texts: DataFrame, rule: Rule, more: DataF
     for r in range(STAR_ROUNDS):
         heads = rest.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node") if r else F.col("node")).alias("head"), F.count("*").alias("size"))
         if r:
-            heads = cut(heads.where(F.col("size") > LONG))
+            heads = cut(heads.where(F.col("size") > LONG), narrow=True)
             if heads.isEmpty():
                 break
-        pairs = cut(rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-        links = cut(links.unionByName(verified(pairs, texts, rule)))
+        pairs = cut(rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), narrow=True)
+        links = cut(links.unionByName(verified(pairs, texts, rule)), narrow=True)
         parts = components(links)
         named = members.join(parts, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("c"))
         still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2").select("k", "size")
-        rest = cut(named.join(still, "k"))
+        rest = cut(named.join(still, "k"), narrow=True)
     if rest.isEmpty():
         return parts
     long = rest.where(F.col("size") > LONG).select("node", "c").distinct()
@@ -231,14 +231,14 @@ def join(docs: DataFrame, gram: int = GRAM, link: int = LINK) -> DataFrame:
     classes = cut(classes.select("d1", "d2", "n", "first.doc_id", "first.t", F.monotonically_increasing_id().alias("node")))
     firsts = named.join(classes.select("d1", "d2", "n", "doc_id", "t", "node"), ["d1", "d2", "n", "doc_id", "t"]).select("node", "n", "keys").dropDuplicates(["node"])
     keyed = firsts.select(F.explode("keys").alias("k"), "node", "n")
-    members = cut(stars(keyed)[1].select("k", "node", "n"))
-    searched = cut(members.select("node").distinct().join(classes, "node").select("node", "doc_id", "t"))
+    members = cut(stars(keyed)[1].select("k", "node", "n"), narrow=True)
+    searched = cut(members.select("node").distinct().join(classes, "node").select("node", "doc_id", "t"), narrow=True)
     texts = cut(sieve(keyed_texts(docs), "doc_id", searched.select("doc_id")).join(searched, ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"]))
     of_class = classes.select("d1", "d2", "n", "node")
     several = named.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n")).alias("lo"), F.max(F.struct("d1", "d2", "n")).alias("hi")).where("lo <> hi").select("doc_id")
     shared = cut(named.join(cut(several), "doc_id").join(of_class, ["d1", "d2", "n"]).select(F.col("doc_id").alias("k"), "node").distinct())
     same_doc = stars(shared)[1].where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    parts = linked_classes(members, texts, rule, cut(same_doc))
+    parts = linked_classes(members, texts, rule, cut(same_doc, narrow=True))
     parts = cut(classes.join(parts, "node", "left").select("d1", "d2", "n", "doc_id", F.coalesce("component", "node").alias("c")))
     least = parts.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     found = parts.join(least, "c").select("d1", "d2", "n", "component_id")

@@ -106,8 +106,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     seen = told_apart(seen)
     keyed = seen.select(F.explode("keys").alias("k"), F.col("h").alias("node"))
     seen = seen.where("main").select("doc_id", "t", "line", "h")
-    several = cut(stars(keyed)[0].select("k"))
-    members = cut(sieve(keyed, "k", several).join(several, "k").distinct())
+    several = cut(stars(keyed)[0].select("k"), narrow=True)
+    members = cut(sieve(keyed, "k", several).join(several, "k").distinct(), narrow=True)
     spelled = sieve(lines_of(docs).select("h", "norm"), "h", members.select("node"))
     text = cut(spelled.distinct())
     side = lambda name, norm: text.select(F.col("h").alias(name), F.col("norm").alias(norm))
@@ -117,18 +117,18 @@ def duplicates(docs: DataFrame) -> DataFrame:
     for r in range(STAR_ROUNDS):
         heads = rest.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", "k", F.lit(r))).alias("head"), F.count("*").alias("n"))
         if r:
-            heads = cut(heads.where(F.col("n") > LARGE))
+            heads = cut(heads.where(F.col("n") > LARGE), narrow=True)
             if heads.isEmpty():
                 break
         edges = rest.join(heads, "k").where("c <> head.c").select(F.col("head.node").alias("a"), F.col("node").alias("b")).select(*least).distinct()
-        edges = cut(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"))
+        edges = cut(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"), narrow=True)
         found = verified(edges)
-        links = cut(found if links is None else links.unionByName(found))
+        links = cut(found if links is None else links.unionByName(found), narrow=True)
         tried = edges if tried is None else tried.unionByName(edges)
         parts = components(links)
         named = members.join(parts, "node", "left").select("k", "node", F.coalesce("component", "node").alias("c"))
         still = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("k", "n")
-        rest = cut(named.join(still, "k"))
+        rest = cut(named.join(still, "k"), narrow=True)
     if not rest.isEmpty():
         many = rest.where(F.col("n") > LARGE)
         rare = many.select("node").distinct().count() > BLOCK
@@ -137,14 +137,14 @@ def duplicates(docs: DataFrame) -> DataFrame:
         pairs = left.join(right, "k").where("ca < cb").select(*least)
         if rare:
             pairs = pairs.unionByName(rare_pairs(spelled_sets(many, text), NUMERATOR, DENOMINATOR).select(*least))
-        more = cut(verified(cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))))
+        more = cut(verified(cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), narrow=True)))
         if not more.isEmpty():
             parts = components(links.unionByName(more))
     place = F.struct("doc_id", "t", "line")
     nodes = seen.groupBy("h").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(parts.withColumnRenamed("node", "h"), "h", "left")
     nodes = cut(nodes.where("n > 1 OR component IS NOT NULL").select("h", "at", F.coalesce("component", "h").alias("c")))
     first = nodes.groupBy("c").agg(F.min("at").alias("first"))
-    first = cut(nodes.join(first, "c").select("h", "first"))
+    first = cut(nodes.join(first, "c").select("h", "first"), narrow=True)
     again = sieve(seen, "h", first.select("h")).join(first, "h").where(place != F.col("first"))
     return again.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 

@@ -55,6 +55,17 @@ def test_components_find_chains(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("held", [common.NARROW_BYTES, 400])
+def test_small_graphs_go_on_in_few_partitions(spark, monkeypatch, held):
+    monkeypatch.setattr(common, "NARROW_BYTES", held)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20] + [(100, 90), (90, 95), (7, 7)], "a long, b long").repartition(30)
+    with common.settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "17"}):
+        found = common.components(edges)
+        got, parts = {r.node: r.component for r in found.collect()}, found.rdd.getNumPartitions()
+    assert got == {**{i: (i - 1) // 20 * 20 + 1 for i in range(1, 61)}, 90: 90, 95: 90, 100: 90}
+    assert parts == 1 if held > 400 else parts > 1
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_removed"] and out.count() == docs.count() and line_dedup.dedup_lines(none).count() == 0
