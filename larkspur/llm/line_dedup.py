@@ -43,15 +43,21 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.where(F.col("raw").rlike(rf"[^{BLANK}]")).select("doc_id", "t", "line", norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
 
 
-def runs(norm: str, first: str = ".") -> F.Column:
-    """Hashes of the runs of SHINGLE characters that begin with `first` (a pattern), at every position; they may repeat."""
-    found = F.regexp_extract_all(F.col(norm), F.lit(rf"(?s)(?=({first}.{{{SHINGLE - 1}}}))."), F.lit(1))
+def marked(norm: str) -> F.Column:
+    """Hashes of the runs of SHINGLE characters that begin with one of MARKS, at every position; they may repeat."""
+    found = F.regexp_extract_all(F.col(norm), F.lit(rf"(?s)[{MARKS}](?<=(?=(.{{{SHINGLE}}}))[{MARKS}])"), F.lit(1))
     return F.transform(found, lambda x: F.xxhash64(x))
 
 
 def shingles(norm: str = "norm") -> F.Column:
-    """Hashes of the distinct runs of SHINGLE characters; a shorter line is one run."""
-    return F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(F.array_distinct(runs(norm)))
+    """Hashes of the distinct runs of SHINGLE characters at every position; a shorter line is one run.
+
+    Runs are cut from the line's UTF-32 bytes, four a character, which takes a third of the time of a regular expression.
+    """
+    wide = 4 * SHINGLE
+    cuts = lambda x: F.transform(F.sequence(F.lit(1), F.octet_length(x) - (wide - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(x, i, F.lit(wide))))
+    hashes = lambda x: F.when(F.octet_length(x) < wide, F.array(F.xxhash64(x))).otherwise(cuts(x))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(norm, "UTF-32")), hashes)))  # the lambda encodes once, not once a run
 
 
 def band_keys(lines: DataFrame, norm: str = "norm") -> DataFrame:
@@ -59,16 +65,15 @@ def band_keys(lines: DataFrame, norm: str = "norm") -> DataFrame:
 
     A line whose marked shingles are about as many as ask for either set has a row for each; main marks one of them.
     """
-    found = lines.withColumn("m", runs(norm, f"[{MARKS}]"))
-    found = found.withColumn("s", F.when(F.size("m") < UNSEEN, shingles(norm)))
-    sets = F.array(F.when(F.size("m") >= SEEN, F.array_distinct("m")), F.col("s"))
-    found = found.select(*lines.columns, F.posexplode(F.filter(sets, lambda x: x.isNotNull())).alias("pos", "x"))
+    found = lines.withColumn("m", marked(norm))
+    found = found.withColumn("s", F.when(F.size("m") < UNSEEN, shingles(norm))).withColumn("m", F.when(F.size("m") >= SEEN, F.array_distinct("m")))
+    found = found.select(*lines.columns, F.col("m").isNull().alias("few"), F.posexplode(F.array("m", "s")).alias("pos", "x")).where("x IS NOT NULL")
     both = F.sort_array(F.concat("x", F.array(*map(F.lit, PIVOTS))))
     found = found.select("*", F.sort_array("x").alias("ordered"), both.alias("marked"), F.size("x").alias("n"))
     found = found.withColumn("ordered", F.concat("ordered", F.slice("ordered", 1, ROWS - 1)))
     after = lambda j, p: (F.array_position("marked", F.lit(p)).cast("int") - 1 - j) % F.col("n")
     keys = F.array(*(F.xxhash64(F.lit(j), F.slice("ordered", after(j, p) + 1, F.lit(ROWS))) for j, p in enumerate(PIVOTS)))
-    return found.select(*lines.columns, keys.alias("keys"), (F.col("pos") == 0).alias("main"))
+    return found.select(*lines.columns, keys.alias("keys"), ((F.col("pos") == 0) | F.col("few")).alias("main"))
 
 
 def alike(a: str | F.Column, b: str | F.Column) -> F.Column:
@@ -78,9 +83,14 @@ def alike(a: str | F.Column, b: str | F.Column) -> F.Column:
     return sizes & (F.size(F.array_intersect(a, b)) * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR)
 
 
-def linked(a: str, b: str) -> F.Column:
-    """alike() over the shingles of two lines, each cut once."""
-    return F.exists(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), lambda both: alike(both["a"], both["b"]))
+def linked(pairs: DataFrame) -> DataFrame:
+    """(a, b) of those pairs (a, b, na, nb) whose lines na and nb are alike.
+
+    Each line is cut once: a filter on the two sets would move before the cuts and repeat them, but it stays after an explode.
+    """
+    sets = pairs.select("a", "b", shingles("na").alias("sa"), shingles("nb").alias("sb"))
+    both = sets.select("a", "b", F.explode(F.array(F.struct("sa", "sb"))).alias("both"))
+    return both.where(alike(F.col("both.sa"), F.col("both.sb"))).select("a", "b")
 
 
 def told_apart(seen: DataFrame) -> DataFrame:
@@ -111,7 +121,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     spelled = sieve(lines_of(docs).select("h", "norm"), "h", members.select("node"))
     text = cut(spelled.distinct())
     side = lambda name, norm: text.select(F.col("h").alias(name), F.col("norm").alias(norm))
-    verified = lambda pairs: pairs.join(side("a", "na"), "a").join(side("b", "nb"), "b").where(linked("na", "nb")).select("a", "b")
+    verified = lambda pairs: linked(pairs.join(side("a", "na"), "a").join(side("b", "nb"), "b"))
     least = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest, links, tried, parts = members.withColumn("c", F.col("node")), None, None, None
     for r in range(STAR_ROUNDS):

@@ -464,3 +464,17 @@ def test_jaccard_long_lists_make_few_pairs_of_a_common_passage(spark, monkeypatc
     got = {r[0]: r[1] for r in jaccard_join.linked_classes(members, rows, jaccard_join.OWN, none).collect()}
     assert got == {7: 7, 40: 7, 3: 3, 41: 3}
     assert len(counts) == 2 and counts[0] == len(texts) - 1 and 2 <= counts[1] < len(texts)  # with the head, then by rare shingles
+
+
+def test_line_dedup_verifies_in_compiled_code_and_cuts_each_line_once(spark):
+    """Links are those of plain sets of code points; the sets come from UTF-32 bytes, no regular expression runs at every character."""
+    whole = "the quick brown fox jumps over the lazy dog while nine grey geese fly south along the river"
+    lines = [whole, whole + "s", whole.replace("geese", "ducks"), "漢字かな交じり文で書かれた長い一行の本文です", "漢字かな交じり文で書かれた長い一行の本文です。"]
+    lines += ["a😀b😀c😀d😀e😀f😀g😀h😀i", "a😀b😀c😀d😀e😀f😀g😀h😀i😀", "straße über möchten", "short", "shorter", "ninechars", "abc" * 20, "abc" * 30]
+    cut = lambda t: {t[k : k + line_dedup.SHINGLE] for k in range(max(1, len(t) - line_dedup.SHINGLE + 1))}
+    rows = [(i, j, x, y) for i, x in enumerate(lines) for j, y in enumerate(lines) if i < j]
+    want = {(i, j) for i, j, x, y in rows if 5 * len(cut(x) & cut(y)) >= 4 * len(cut(x) | cut(y))}
+    found = line_dedup.linked(spark.createDataFrame(rows, "a long, b long, na string, nb string"))
+    assert {(r.a, r.b) for r in found.collect()} == want and {(0, 1), (3, 4), (5, 6), (11, 12)} <= want and (0, 2) not in want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and re.search(r"\*\(\d+\) Filter .*array_intersect", plan) and len(re.findall(r"UTF-32", plan)) == 2
