@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Operations that bring a key into being, whatever it holds.
 MAKES = ("set", "incr", "decr", "hset", "lpush", "rpush", "sadd", "zadd")
+#: Containers by what their bytes are counted from, and the operations that put into them or take out.
+HOLDS = {"kv": ("set", "del"), "hash": ("hset", "hdel"), "list": ("lpush", "rpush"), "set": ("sadd", "srem"), "zset": ("zadd", "zrem")}
 
 
 def since_del(log: DataFrame) -> DataFrame:
@@ -124,18 +126,36 @@ def ttl_state(log: DataFrame, now: Column) -> DataFrame:
     return left.select("key", F.when(F.col("ends").isNull(), F.lit(-1)).otherwise(F.floor((F.col("ends") - now) / 1000)).cast("long").alias("ttl"))
 
 
+def entries(rows: DataFrame) -> DataFrame:
+    """key, seq, held, put, n, field, value of operations of HOLDS: the container, whether something is put into it, and the bytes of what.
+
+    field and value are null where they do not tell entries of the container apart.
+    """
+    held = F.coalesce(*(F.when(F.col("op").isin(*ops), name) for name, ops in HOLDS.items()))
+    size = lambda column: F.octet_length(F.col(column).cast("string"))
+    n = size("value") + F.when(F.col("held") == "hash", size("field")).when(F.col("held") == "zset", 8).otherwise(0)
+    field, value = F.when(F.col("held") == "hash", F.col("field")), F.when(F.col("held").isin("set", "zset"), F.col("value"))
+    return rows.withColumn("held", held).select("key", "seq", "held", F.col("op").isin(*MAKES).alias("put"), n.alias("n"), field.alias("field"), value.alias("value"))
+
+
 def footprint(log: DataFrame) -> DataFrame:
-    """key, mem_bytes over all containers: the key once a container, and its fields, values and members; a score takes 8."""
-    size = lambda *columns: sum((F.octet_length(F.col(c).cast("string")) for c in columns), F.lit(0))
-    parts = [
-        last_set(log).select("key", F.lit("kv").alias("held"), size("value").alias("n")),
-        hashes(log).select("key", F.lit("hash").alias("held"), size("field", "value").alias("n")),
-        lists(log).select("key", F.lit("list").alias("held"), size("value").alias("n")),
-        members(log).select("key", F.lit("set").alias("held"), size("value").alias("n")),
-        sorted_set(log).select("key", F.lit("zset").alias("held"), (size("value") + 8).alias("n")),
-    ]
-    rows = reduce(DataFrame.unionByName, parts).groupBy("key", "held").agg(F.sum("n").alias("n"))
-    return rows.groupBy("key").agg(F.sum(F.col("n") + size("key")).cast("long").alias("mem_bytes"))
+    """key, mem_bytes over all containers: the key once a container, and its fields, values and members; a score takes 8.
+
+    All containers go through one join and one aggregation, so a task holds the sorts and tables of one and not of five at
+    once. The join carries the log's own columns, what follows from them is added after it. A list's entries are all
+    there; of others the last operation decides.
+    """
+    rows = log.where(F.col("op").isin(*(op for ops in HOLDS.values() for op in ops)))
+    rows = rows.select("key", "seq", "op", F.when(F.col("op").isin(*HOLDS["hash"]), F.col("field")).alias("field"), "value")
+    gone = log.where("op = 'del'").groupBy("key").agg(F.max("seq").alias("_gone"))
+    rows = entries(rows.join(gone, "key", "left").where(F.col("op").isin(*HOLDS["kv"]) | F.expr("_gone IS NULL OR seq > _gone")))
+    last = rows.groupBy("key", "held", "field", "value").agg(F.max_by("put", "seq").alias("put"), F.max_by("n", "seq").alias("n"), F.sum(F.when(F.col("held") == "list", F.col("n"))).alias("all"))
+    live = last.where("put OR held = 'list'").withColumn("n", F.when(F.col("held") == "list", F.col("all")).otherwise(F.col("n")))
+    sums = live.groupBy("key").agg(*(F.sum(F.when(F.col("held") == x, F.col("n"))).alias(f"_{x}") for x in HOLDS))
+    key = F.octet_length(F.col("key").cast("string"))
+    parts = [F.col(f"_{x}") + key for x in HOLDS]
+    some = F.coalesce(*parts).isNotNull()
+    return sums.select("key", F.when(some, sum((F.coalesce(x, F.lit(0)) for x in parts), F.lit(0))).cast("long").alias("mem_bytes"))
 
 
 def exists(log: DataFrame) -> DataFrame:

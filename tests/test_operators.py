@@ -200,3 +200,34 @@ def test_lists_replay_pops_between_pushes(spark):
 def test_lru_keeps_within_bytes(spark):
     log = spark.createDataFrame([(1, "a", 10), (2, "b", 10), (3, "c", 10), (4, "a", 15)], "seq long, key string, mem_bytes long")
     assert rows(kv.lru(log, 9, most_bytes=25, shard=F.lit(0)).select("key"), "key") == [("a",), ("c",)]
+
+
+def random_log(spark, n=3000):
+    """An operation log, and what its keys' containers hold by plain Python: key -> container -> entries with their bytes."""
+    r, log, held = random.Random(5), [], {}
+    for seq in range(n):
+        row = dict(seq=seq, key=r.randrange(40), op=r.choice(["set", "del", "hset", "hdel", "lpush", "rpush", "sadd", "srem", "zadd", "zrem", "get"]), field=str(r.randrange(3)), value=r.choice(["", "é", "abc", "12345"]), score=r.random())
+        log.append(row)
+        mine, size = held.setdefault(row["key"], {}), len(row["value"].encode())
+        where, entry, takes = {"s": ("kv", "", size), "h": ("hash", row["field"], size + 1), "l": ("list", seq, size), "r": ("list", seq, size)}.get(row["op"][0], ("", "", 0))
+        where, entry, takes = {"sadd": ("set", row["value"], size), "srem": ("set", row["value"], size), "zadd": ("zset", row["value"], size + 8), "zrem": ("zset", row["value"], size + 8)}.get(row["op"], (where, entry, takes))
+        if row["op"] == "del":
+            mine.clear()
+        elif row["op"] in ("hdel", "srem", "zrem"):
+            mine.get(where, {}).pop(entry, None)
+        elif where:
+            mine.setdefault(where, {})[entry] = takes
+    return spark.createDataFrame(log, "seq long, key long, op string, field string, value string, score double"), held
+
+
+def joins_of(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Join "), plan.count("Union")
+
+
+def test_bytes_of_all_containers_come_from_one_pass(spark):
+    log, held = random_log(spark)
+    want = {k: sum(len(str(k)) + sum(x.values()) for x in mine.values() if x) for k, mine in held.items() if any(mine.values())}
+    out = kv.footprint(log)
+    assert {r.key: r.mem_bytes for r in out.collect()} == want and len(want) > 30
+    assert joins_of(out) == (1, 0)  # a task had the sorts and tables of five containers before
