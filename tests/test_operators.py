@@ -231,3 +231,11 @@ def test_bytes_of_all_containers_come_from_one_pass(spark):
     out = kv.footprint(log)
     assert {r.key: r.mem_bytes for r in out.collect()} == want and len(want) > 30
     assert joins_of(out) == (1, 0)  # a task had the sorts and tables of five containers before
+
+
+def test_keys_exist_by_one_pass(spark):
+    log, held = random_log(spark)
+    out = kv.exists(log)
+    assert {r.key for r in out.collect()} == {k for k, mine in held.items() if any(mine.values())} and joins_of(out) == (1, 0)
+    odd = spark.createDataFrame([(1, None, "sadd", None), (2, None, "del", None), (3, "a", "set", None), (4, "b", "sadd", "x"), (5, "b", "srem", "x"), (6, "c", "rpush", None), (7, "c", "del", None)], "seq long, key string, op string, value string").withColumn("field", F.lit(None).cast("string"))
+    assert rows(kv.footprint(odd), "key") == [(None, None), ("a", None)]  # no key equals a null one, so its members outlive the del; unknown sizes stay unknown
