@@ -183,18 +183,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Words of the sieve's bit table: 2^18 rows of 64 bits, a broadcast of a few MB whatever the input.
 SIEVE_WORDS = 1 << 18
+#: A table for many keys has more words, 16 bits a key, but no more than these: a broadcast of tens of MB.
+SIEVE_MOST = 1 << 20
 
 
-def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def sieve_words(keys: DataFrame) -> int:
+    """Words of a bit table for keys, which are counted; a table of fixed size lets everything through once the keys fill it."""
+    return min(SIEVE_MOST, max(SIEVE_WORDS, 1 << (keys.count() // 4).bit_length()))
+
+
+def sieve(rows: DataFrame, key: str, keys: DataFrame, words: int | None = None) -> DataFrame:
     """Rows whose long column `key` may be among the one column of keys; all that are, and few others.
 
-    A fixed-size bit table is broadcast instead of the keys, so that texts which cannot match stay out of the
+    A bit table of `words` (SIEVE_WORDS) is broadcast instead of the keys, so that texts which cannot match stay out of the
     shuffle of the join that follows. Null keys never pass.
     """
-    spot = F.pmod(F.xxhash64(F.col(keys.columns[0]).cast("long")), F.lit(SIEVE_WORDS * 64))
+    bits = F.lit((words or SIEVE_WORDS) * 64)
+    spot = F.pmod(F.xxhash64(F.col(keys.columns[0]).cast("long")), bits)
     table = keys.select(spot.alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits"))
     kept = rows.columns
-    with_spot = rows.where(F.col(key).isNotNull()).withColumn("_spot", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SIEVE_WORDS * 64))).withColumn("_word", F.shiftright("_spot", 6))
+    with_spot = rows.where(F.col(key).isNotNull()).withColumn("_spot", F.pmod(F.xxhash64(F.col(key).cast("long")), bits)).withColumn("_word", F.shiftright("_spot", 6))
     return with_spot.join(F.broadcast(table), "_word").where(F.expr("(shiftrightunsigned(_bits, cast(_spot & 63 as int)) & 1) = 1")).select(*kept)
 
 

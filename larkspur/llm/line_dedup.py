@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, cut, fresh, load, prepare, rare_pairs, settings, sieve, stars
+from larkspur.llm.common import components, cut, fresh, load, prepare, rare_pairs, settings, sieve, sieve_words, stars
 
 SHINGLE, BANDS, ROWS = 9, 8, 3
 #: First characters of the shingles that the signature of a long line sees; about a quarter of Latin text.
@@ -117,8 +117,9 @@ def duplicates(docs: DataFrame) -> DataFrame:
     keyed = seen.select(F.explode("keys").alias("k"), F.col("h").alias("node"))
     seen = seen.where("main").select("doc_id", "t", "line", "h")
     several = cut(stars(keyed)[0].select("k"), narrow=True)
-    members = cut(sieve(keyed, "k", several).join(several, "k").distinct(), narrow=True)
-    spelled = sieve(lines_of(docs).select("h", "norm"), "h", members.select("node"))
+    members = cut(sieve(keyed, "k", several, sieve_words(several)).join(several, "k").distinct(), narrow=True)
+    nodes = members.select("node").distinct()
+    spelled = sieve(lines_of(docs).select("h", "norm"), "h", nodes, sieve_words(nodes))
     text = cut(spelled.distinct())
     side = lambda name, norm: text.select(F.col("h").alias(name), F.col("norm").alias(norm))
     verified = lambda pairs: linked(pairs.join(side("a", "na"), "a").join(side("b", "nb"), "b"))
@@ -155,7 +156,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     nodes = cut(nodes.where("n > 1 OR component IS NOT NULL").select("h", "at", F.coalesce("component", "h").alias("c")))
     first = nodes.groupBy("c").agg(F.min("at").alias("first"))
     first = cut(nodes.join(first, "c").select("h", "first"), narrow=True)
-    again = sieve(seen, "h", first.select("h")).join(first, "h").where(place != F.col("first"))
+    again = sieve(seen, "h", first.select("h"), sieve_words(first)).join(first, "h").where(place != F.col("first"))
     return again.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
 

@@ -478,3 +478,17 @@ def test_line_dedup_verifies_in_compiled_code_and_cuts_each_line_once(spark):
     assert {(r.a, r.b) for r in found.collect()} == want and {(0, 1), (3, 4), (5, 6), (11, 12)} <= want and (0, 2) not in want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan and re.search(r"\*\(\d+\) Filter .*array_intersect", plan) and len(re.findall(r"UTF-32", plan)) == 2
+
+
+def test_line_dedup_sieves_many_keys_by_larger_tables(spark, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE_WORDS", 16)
+    keys, rows = spark.range(0, 40_000, 10), spark.range(40_000)
+    passed = lambda words: {r.id for r in common.sieve(rows, "id", keys, words).collect()}
+    wide = passed(common.sieve_words(keys))
+    assert wide >= set(range(0, 40_000, 10)) and len(wide) < 4000 + 36_000 // 8 < 0.9 * len(passed(None))
+    monkeypatch.setattr(common, "SIEVE_MOST", 32)
+    assert common.sieve_words(keys) == 32
+    used, sieve = [], line_dedup.sieve
+    monkeypatch.setattr(line_dedup, "sieve", lambda *a: used.append(a[3]) or sieve(*a))
+    frame = spark.createDataFrame([(i, f"Line number {i} {i * i}\nThe same line in all of them") for i in range(600)], "doc_id long, text string")
+    assert line_dedup.dedup_lines(frame).agg(F.sum("n_removed")).first()[0] >= 599 and len(used) == 3 and max(used) > 16
